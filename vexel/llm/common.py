@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -16,7 +17,7 @@ _INV = pow(_BASE, -1, 1 << 64)
 _BASE2 = 0xD1342543DE82EF95
 _INV2 = pow(_BASE2, -1, 1 << 64)
 #: Text is worked through in slices of about so many bytes, which keeps arrays in cache.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: ASCII letters and digits, and all bytes of characters beyond ASCII, make up words.
 WORD = np.zeros(256, dtype=bool)
@@ -50,6 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, which cut() gave, marked for broadcast if it has no more rows than that; else it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The bijective finaliser of splitmix64."""
     x = x.astype(_U, copy=True)
@@ -91,8 +97,6 @@ def text_slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES)
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
-    if lower:
-        column = pc.utf8_lower(column)
     n = len(column)
     if not n:
         return
@@ -101,7 +105,14 @@ def text_slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES)
     at = 0
     while at < n:
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
-        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        if lower:
+            # Slice by slice, so that the whole batch is not there twice.
+            part = pc.utf8_lower(column.slice(at, to - at))
+            ends = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+            flat = np.frombuffer(part.buffers()[2], dtype=np.uint8) if part.buffers()[2] is not None else np.zeros(0, np.uint8)
+            yield at, flat[ends[0] : ends[-1]], ends - ends[0]
+        else:
+            yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
