@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vexel.llm.common import SPACE, cut, read, runs, span_hash, text_slices
+from vexel.llm.common import SPACE, cut, read, runs, small, span_hash, text_slices
 
 FEATURES = ("word_length", "symbols", "upper", "digits", "distinct", "adjacent_repeats", "line_words")
 P = len(FEATURES)
 #: Share of documents that the concentration steps keep; number of steps; least documents of a group.
 COVER, STEPS, LEAST = 0.75, 4, 200
+#: Estimates are broadcast to the documents up to so many groups (of some 300 bytes); beyond, they are joined by shuffle.
+BROADCAST_GROUPS = 50_000
 #: Cutoff of the squared distance, as a multiple of the chi-square quantile at 0.999 with P degrees of freedom.
 CUTOFF = 2.0
 #: Least standard deviation of each statistic, on its transformed scale.
@@ -199,14 +201,14 @@ def assess(docs: DataFrame, least: int = LEAST, cover: float = COVER, steps: int
     sizes = stats.groupBy("g0", "l").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("small", F.col("n") < least).withColumn("ln", F.sum(F.when(F.col("small"), F.col("n")).otherwise(0)).over(Window.partitionBy("l")))
     naming = cut(sizes.select("g0", F.when(~F.col("small"), F.col("g0")).when(F.col("ln") >= least, F.concat(F.lit("pool/"), "l")).otherwise(F.lit("pool")).alias("g")))
-    table = stats.join(naming, "g0").select("g", "v")
+    table = stats.join(small(naming, BROADCAST_GROUPS), "g0").select("g", "v")
     params = cut(_quantiles(table))
     for _ in range(steps):
-        params = cut(_concentrate(table, params, cover))
+        params = cut(_concentrate(table, small(params, BROADCAST_GROUPS), cover))
     enough = table.groupBy("g").count().where(F.col("count") >= least).select("g")
     params = cut(naming.join(params.join(enough, "g", "left_semi"), "g").drop("g").toDF("__vx_g", *[f"__vx_{c}" for c in _PARAMS]))
     with_vector = docs.withColumn("__vx_v", _vector()(F.col("text"))).withColumn("__vx_g", _group(F.col("lang").cast("string"), F.col("source").cast("string")))
-    joined = with_vector.join(params, "__vx_g", "left")
+    joined = with_vector.join(small(params, BROADCAST_GROUPS), "__vx_g", "left")
     distance = _distance("__vx_v", "__vx_")
     limit = cutoff * chi2_quantile(0.999, P)
     return joined.withColumn("__vx_distance", distance).select(*docs.columns, "__vx_distance", (F.col("__vx_v").isNull() | F.coalesce(F.col("__vx_distance") > limit, F.lit(False))).alias("__vx_reject"))
