@@ -31,6 +31,8 @@ from vexel.llm.common import SPACE, cut, mix, read, runs, span_hash, text_slices
 LEAD, SIMILAR, MIN_DOCS, SPREAD = 3, 0.7, 10, 0.5
 #: Dropped lines' hashes are broadcast up to so many; beyond, they are joined.
 BROADCAST_LINES = 4_000_000
+#: And so are the leaves that recur.
+BROADCAST_LEAVES = 1_000_000
 
 _U = np.uint64
 _DIGIT = np.zeros(256, dtype=bool)
@@ -107,15 +109,19 @@ def _leaves(lead: int):
     return run
 
 
-def _lines(lead: int):
-    """(leaf, line, sign) of all lines."""
+def _lines(lead: int, hot: np.ndarray | None):
+    """(leaf, line, sign, text) of the lines in the leaves hot (sorted), or of all lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
                 x = Lines(data, offsets, lead)
-                if len(x.leaf):
-                    yield pa.RecordBatch.from_arrays([_i64(x.leaf), _i64(x.hash), _i64(x.sign[x.row]), pa.array([data[s:e].tobytes() for s, e in zip(x.starts, x.ends)], pa.binary())], ["leaf", "line", "sign", "text"])
+                if hot is None:
+                    at = np.arange(len(x.leaf))
+                else:
+                    at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, x.leaf), len(hot) - 1)] == x.leaf) if len(hot) else np.zeros(0, np.int64)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([_i64(x.leaf[at]), _i64(x.hash[at]), _i64(x.sign[x.row[at]]), pa.array([data[s:e].tobytes() for s, e in zip(x.starts[at], x.ends[at])], pa.binary())], ["leaf", "line", "sign", "text"])
 
     return run
 
@@ -158,7 +164,11 @@ def _cluster(similar: float):
     return run
 
 
-def recurring_lines(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR, min_docs: int = MIN_DOCS, spread: float = SPREAD) -> DataFrame:
+def _sorted(column: pa.ChunkedArray) -> np.ndarray:
+    return np.sort(np.array(column.to_numpy(), dtype=np.int64).view(_U))
+
+
+def recurring_lines(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR, min_docs: int = MIN_DOCS, spread: float = SPREAD, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
     """Hashes `line` of the distinct lines whose templates recur.
 
     The first pass over the texts counts leaves; only lines in leaves that recur are looked at in the second.
@@ -166,7 +176,11 @@ def recurring_lines(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR,
     texts = docs.select(F.col("text").alias("text"))
     leaves = texts.mapInArrow(_leaves(lead), "leaf long, sign long")
     hot = cut(leaves.groupBy("leaf", "sign").count().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    lines = texts.mapInArrow(_lines(lead), "leaf long, line long, sign long, text binary").join(hot, "leaf", "left_semi")
+    form = "leaf long, line long, sign long, text binary"
+    if hot.count() <= broadcast_leaves:
+        lines = texts.mapInArrow(_lines(lead, _sorted(hot.toArrow().column("leaf"))), form)
+    else:
+        lines = texts.mapInArrow(_lines(lead, None), form).join(hot, "leaf", "left_semi")
     seen = cut(lines.groupBy("leaf", "line", "sign").agg(F.count("*").alias("n"), F.first("text").alias("text")))
     distinct = seen.groupBy("leaf", "line").agg(F.first("text").alias("text"))
     named = distinct.groupBy("leaf").applyInArrow(_cluster(similar), "leaf long, line long, template long")
@@ -218,7 +232,7 @@ def drop_recurring(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR,
     """docs without the lines of recurring templates."""
     lines = cut(recurring_lines(docs, lead, similar, min_docs, spread))
     if lines.count() <= broadcast_lines:
-        drop = np.sort(np.array(lines.toArrow().column("line").to_numpy(), dtype=np.int64).view(_U))
+        drop = _sorted(lines.toArrow().column("line"))
 
         @F.arrow_udf("string")
         def strip(text: pa.Array) -> pa.Array:
