@@ -124,7 +124,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long").alias("n"))
     count = docs.count()
     cells = max(1, -(-count // cell))
-    return sized.withColumn("cell", F.pmod(F.xxhash64("doc_id", "h"), F.lit(cells))).groupBy("cell").applyInArrow(_pack_cell(capacity), "window_id string, doc_id long, start long, tokens long, window_tokens long")
+    # Cells are light to move and heavy to pack: a number that is given is not coalesced at run time.
+    parts = min(20_000, max(sized.sparkSession.sparkContext.defaultParallelism, cells // 16))
+    return sized.withColumn("cell", F.pmod(F.xxhash64("doc_id", "h"), F.lit(cells))).repartition(min(cells, parts), "cell").groupBy("cell").applyInArrow(_pack_cell(capacity), "window_id string, doc_id long, start long, tokens long, window_tokens long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
