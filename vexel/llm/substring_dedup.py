@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vexel.llm.common import cut, read, text_slices, window_hash, words
@@ -112,8 +112,8 @@ def _join(least: int):
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows (h, k, p) whose h stands in two documents k or more."""
-    twice = rows.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h")
-    return rows.join(twice, "h", "left_semi")
+    w = Window.partitionBy("h")
+    return rows.withColumn("a", F.min("k").over(w)).withColumn("b", F.max("k").over(w)).where("a <> b").select("h", "k", "p")
 
 
 def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
