@@ -78,7 +78,7 @@ def kmers(sequence: Column, k: int) -> Column:
 
 def kmer_index(kmer: Column, alphabet: str = "ACGT") -> Column:
     """The k-mer as a number to the base of the alphabet; letters beyond it count as 0."""
-    place = lambda c: F.greatest(F.locate_in(alphabet, c) - 1, F.lit(0)) if hasattr(F, "locate_in") else F.greatest(F.instr(F.lit(alphabet), c) - 1, F.lit(0))
+    place = lambda c: F.greatest(F.instr(F.lit(alphabet), c) - 1, F.lit(0))
     return F.aggregate(F.filter(F.split(F.upper(kmer), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda total, c: total * len(alphabet) + place(c))
 
 

@@ -102,7 +102,7 @@ def score_inverse(distance: Column) -> Column:
 def binarize(v: Column, threshold: float = 0.0) -> Column:
     """Bits x >= threshold, packed from the lowest bit into BIGINT words of 32 bits each."""
     words = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 32).cast("int"))
-    bit = lambda x, i: F.when(x >= threshold, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    bit = lambda x, i: F.when(x >= threshold, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     word = lambda w: F.aggregate(F.transform(F.slice(v, w * 32 + 1, 32), bit), F.lit(0).cast("long"), lambda total, x: total + x)
     return F.when(F.size(v) > 0, F.transform(words, word)).otherwise(F.array().cast("array<bigint>"))
 
@@ -157,15 +157,11 @@ def delta_decode(deltas: Column) -> Column:
 
 def run_lengths(values: Column, most: int = 255) -> Column:
     """Runs of equal neighbours as structs (value, n), none longer than `most`."""
-    kind = "array<struct<value:bigint,n:int>>"
-    last = lambda out: F.try_element_at(out, F.lit(-1))
-
-    def step(out: Column, x: Column) -> Column:
-        joins = (last(out)["value"] == x) & (last(out)["n"] < most)
-        longer = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(x.alias("value"), (last(out)["n"] + 1).alias("n"))))
-        return F.when(joins, longer).otherwise(F.concat(out, F.array(F.struct(x.alias("value"), F.lit(1).alias("n"))))).cast(kind)
-
-    return F.aggregate(values.cast("array<bigint>"), F.array().cast(kind), step)
+    v = values.cast("array<bigint>")
+    starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | ~F.get(v, i).eqNullSafe(F.get(v, i - 1)))
+    runs = F.transform(starts, lambda s, j: F.struct(F.get(v, s).alias("value"), (F.coalesce(F.get(starts, j + 1), F.size(v)) - s).alias("n")))
+    pieces = lambda r: F.transform(F.sequence(F.lit(0), F.floor((r["n"] - 1) / most).cast("int")), lambda c: F.struct(r["value"].alias("value"), F.least(F.lit(most), r["n"] - c * most).alias("n")))
+    return F.when(F.size(v) > 0, F.flatten(F.transform(runs, pieces))).otherwise(F.array().cast("array<struct<value:bigint,n:int>>"))
 
 
 def expand_runs(runs: Column) -> Column:
