@@ -22,15 +22,15 @@ def _hash(values: np.ndarray) -> int:
         return int(_U(5381) * _powers[n] + (values.astype(_U) * _powers[:n][::-1]).sum(dtype=_U))
 
 
-@F.arrow_udf("bigint")
-def _text_hash(text: pa.Array) -> pa.Array:
-    out = [None if t is None else _hash(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)) for t in text.to_pylist()]
-    return pa.array([None if h is None else h - (1 << 64) if h >> 63 else h for h in out], pa.int64())
-
-
 def text_hash(text: Column) -> Column:
     """The hash of the code points, as DECIMAL(20, 0)."""
-    h = _text_hash(text).cast("decimal(20,0)")
+
+    @F.arrow_udf("bigint")
+    def run(column: pa.Array) -> pa.Array:
+        out = [None if t is None else _hash(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)) for t in column.to_pylist()]
+        return pa.array([None if h is None else h - (1 << 64) if h >> 63 else h for h in out], pa.int64())
+
+    h = run(text).cast("decimal(20,0)")
     return F.when(h < 0, h + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(h).cast("decimal(20,0)")
 
 

@@ -149,8 +149,9 @@ def delta_coding(spark, d):
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, ascii(l_returnflag) AS v FROM lineitem),
-g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - row_number() OVER (PARTITION BY l_orderkey, v ORDER BY l_linenumber) AS island FROM f),
-r AS (SELECT l_orderkey, v, min(l_linenumber) AS first, count(*) AS n FROM g GROUP BY l_orderkey, v, island)
+g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, v) AS i FROM f),
+h AS (SELECT *, i - row_number() OVER (PARTITION BY l_orderkey, v ORDER BY i) AS island FROM g),
+r AS (SELECT l_orderkey, v, min(i) AS first, count(*) AS n FROM h GROUP BY l_orderkey, v, island)
 SELECT l_orderkey, string_agg(v || ':' || n, ',' ORDER BY first) AS runs FROM r GROUP BY l_orderkey""")
 def run_length_coding(spark, d):
     one = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.ascii("l_returnflag").alias("v")))).alias("x"))
