@@ -94,7 +94,7 @@ def judge(pages: DataFrame, labels: DataFrame, weight: float = WEIGHT, purity: f
     each = cut(templates(pages, labels))
     table = each.groupBy("host", *t).agg(F.count("*").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     tree = cut(generalise(table))
-    good = tree.agg((F.sum(F.col("lab") - F.col("bad")) / F.sum("lab")).alias("good"))
+    good = tree.agg(F.try_divide(F.sum(F.col("lab") - F.col("bad")), F.sum("lab")).alias("good"))
     path = F.concat(F.lit("/"), F.concat_ws("/", *g))
     pure = tree.groupBy("host", *g).agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).crossJoin(good).select("host", *g, path.alias("template"), F.expr(f"try_divide(cast(lab - bad as double) + {weight}D * good, cast(lab as double) + {weight}D)").alias("p"))
     leaf = tree.alias("a").join(pure.alias("b"), _safe("a", "b", ["host", *g])).select("a.host", *[f"a.{c}" for c in t], "template", "p")
