@@ -104,7 +104,7 @@ def test_line_dedup(messy, empty, spark):
 
 
 def test_line_dedup_without_broadcast_of_leaves(spark):
-    df = spark.createDataFrame([(i, f"Subscribe now for offer {i}\n{w} tells its own story", "en", "a", 1) for i, w in enumerate(WORDS)], FORM)
+    df = spark.createDataFrame([(i, f"Subscribe now for offer {i}\n{w} tells its own story\n\nplain {w}", "en", "a", 1) for i, w in enumerate(WORDS)], FORM)
     some, none = (sorted(r.line for r in line_dedup.recurring_lines(df, broadcast_leaves=m).collect()) for m in (1000, 0))
     # The hash is over the tokens with variables masked, so that all offers are one line.
     assert some == none and len(some) == 1
