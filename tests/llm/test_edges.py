@@ -110,6 +110,20 @@ def test_line_dedup_without_broadcast_of_leaves(spark):
     assert some == none and len(some) == 1
 
 
+def test_line_dedup_counts_documents_once(spark):
+    """A line three times in each document, one in many copies of a document too, and a group of near copies whose lines stay."""
+    form = "doc_id long, text string"
+    drop = lambda texts: sorted(r.text for r in line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(texts)), form)).collect())
+    mark = "Page {i} of this long record"
+    often = [f"{mark}\n{w} tells one story\n{mark}\n{w} ends it there\n{mark}" for w in WORDS]
+    assert drop(often) == sorted(f"{w} tells one story\n{w} ends it there" for w in WORDS)
+    once = [f"{mark}\n{w} tells its own story of {w}" for w in WORDS]
+    copy = f"{mark}\nall copies hold this other text"
+    assert drop(once + [copy] * 60) == sorted([t.split("\n")[1] for t in once] + ["all copies hold this other text"] * 60)
+    near = [" ".join(WORDS) + f"\nthe same second line of all the near copies\n{i} ends" for i in range(60)]
+    assert drop(near) == sorted(near)
+
+
 def test_substring_dedup(messy, empty):
     out = sorted(map(tuple, substring_dedup.repeats(messy).collect()))
     assert out == [(1, 0, 80), (1, 0, 80), (2, 3, 83)]

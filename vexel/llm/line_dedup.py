@@ -5,7 +5,8 @@ The tree routes a line by its number of tokens and its LEAD leading tokens to a
 leaf, lines join the template that shares at least SIMILAR of their tokens, and tokens that
 differ become variables, or else they found a template.  A template is recurring when it
 stands in MIN_DOCS unrelated documents or more, and these are at least SPREAD of all its documents;
-all lines of recurring templates are dropped.
+all lines of recurring templates are dropped.  A document counts once, however often the template
+stands in it, and so do documents of equal text.
 
 Documents are unrelated when the least hashes of their word triples differ, so that copies
 of one document, whose lines recur together, count about once and are left to document dedup.
@@ -110,7 +111,7 @@ def _leaves(lead: int):
 
 
 def _lines(lead: int, hot: np.ndarray | None):
-    """(leaf, line, sign, text) of the lines in the leaves hot (sorted), or of all lines."""
+    """(leaf, line, sign, doc, text) of the lines in the leaves hot (sorted), or of all lines; doc is the hash of the document's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +122,8 @@ def _lines(lead: int, hot: np.ndarray | None):
                 else:
                     at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, x.leaf), len(hot) - 1)] == x.leaf) if len(hot) else np.zeros(0, np.int64)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([_i64(x.leaf[at]), _i64(x.hash[at]), _i64(x.sign[x.row[at]]), pa.array([data[s:e].tobytes() for s, e in zip(x.starts[at], x.ends[at])], pa.binary())], ["leaf", "line", "sign", "text"])
+                    doc = span_hash(data, offsets[:-1], offsets[1:])
+                    yield pa.RecordBatch.from_arrays([_i64(x.leaf[at]), _i64(x.hash[at]), _i64(x.sign[x.row[at]]), _i64(doc[x.row[at]]), pa.array([data[s:e].tobytes() for s, e in zip(x.starts[at], x.ends[at])], pa.binary())], ["leaf", "line", "sign", "doc", "text"])
 
     return run
 
@@ -176,16 +178,16 @@ def recurring_lines(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR,
     texts = docs.select(F.col("text").alias("text"))
     leaves = texts.mapInArrow(_leaves(lead), "leaf long, sign long")
     hot = cut(leaves.groupBy("leaf", "sign").count().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    form = "leaf long, line long, sign long, text binary"
+    form = "leaf long, line long, sign long, doc long, text binary"
     if hot.count() <= broadcast_leaves:
         lines = texts.mapInArrow(_lines(lead, _sorted(hot.toArrow().column("leaf"))), form)
     else:
         lines = texts.mapInArrow(_lines(lead, None), form).join(hot, "leaf", "left_semi")
-    seen = cut(lines.groupBy("leaf", "line", "sign").agg(F.count("*").alias("n"), F.first("text").alias("text")))
+    seen = cut(lines.groupBy("leaf", "line", "sign", "doc").agg(F.first("text").alias("text")))
     distinct = seen.groupBy("leaf", "line").agg(F.first("text").alias("text"))
     named = distinct.groupBy("leaf").applyInArrow(_cluster(similar), "leaf long, line long, template long")
-    spans = seen.select("leaf", "line", "sign", "n").join(named, ["leaf", "line"])
-    good = spans.groupBy("leaf", "template", "sign").agg(F.sum("n").alias("n")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.sum("n").alias("all")).where((F.col("docs") >= min_docs) & (F.col("docs") >= spread * F.col("all")))
+    spans = seen.select("leaf", "line", "sign", "doc").join(named, ["leaf", "line"]).select("leaf", "template", "sign", "doc").distinct()
+    good = spans.groupBy("leaf", "template", "sign").agg(F.count("*").alias("n")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.sum("n").alias("all")).where((F.col("docs") >= min_docs) & (F.col("docs") >= spread * F.col("all")))
     return named.join(good, ["leaf", "template"], "left_semi").select("line").distinct()
 
 
