@@ -67,6 +67,19 @@ def test_secrets(messy, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_long_secrets_are_found_whole(spark):
+    long = {
+        "json_web_token": "eyJ" + "h" * 30 + "." + "p" * 600 + "." + "s" * 700,
+        "long_hex": "0a" * 100,
+        "url_password": "https://" + "u" * 70 + ":" + "p" * 80 + "@",
+        "stripe_key": "sk_live_" + "K" * 100,
+        "slack_token": "xoxb-" + "9Z" * 50,
+        "assigned_secret": "password" + " " * 8 + "=" + " " * 8 + "Z" * 200,
+    }
+    df = spark.createDataFrame([(i, f"see {s} there") for i, s in enumerate(long.values())], "doc_id long, text string")
+    assert {(r.rule, r.secret) for r in secrets.find_secrets(df).collect()} == set(long.items())
+
+
 def test_packing(messy, empty):
     out = packing.pack_documents(messy, capacity=1000, cell=5).collect()
     size = lambda t: -(-len((t or "").encode()) // 4)

@@ -25,14 +25,25 @@ from pyspark.sql import functions as F
 
 from vexel.llm.common import read, text_slices
 
-#: Written in the common part of Python's and RE2's syntax; letters and digits are ASCII ones.
+#: Written in the common part of Python's and RE2's syntax; letters and digits are ASCII ones. Values have no greatest length.
+#: (A url's scheme has one, which cuts no secret: a longer run of letters still matches from its last 21 on.)
 RULES: dict[str, str] = {
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,72}",
+    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}",
+    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
     "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----",
+    "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "assigned_secret": r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?[0-9a-z_+/=.~-]{8,}",
+    "url_password": r"[A-Za-z][0-9A-Za-z+.-]{1,20}://[0-9A-Za-z_.~%-]{1,}:[0-9A-Za-z_.~%!$&*+-]{1,}@",
+    "long_hex": r"\b[0-9a-f]{32,}\b",
+}
+
+#: The rules of the SQL twin, which keeps greatest lengths: it misses or cuts longer values, and the operator does not.
+SQL_RULES: dict[str, str] = RULES | {
+    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,72}",
+    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}",
     "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,500}\.[0-9A-Za-z_-]{8,500}\.[0-9A-Za-z_-]{8,500}",
     "assigned_secret": r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[0-9a-z_+/=.~-]{8,128}",
     "url_password": r"[A-Za-z][0-9A-Za-z+.-]{1,20}://[0-9A-Za-z_.~%-]{1,64}:[0-9A-Za-z_.~%!$&*+-]{1,64}@",
@@ -219,7 +230,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda p: p.replace("'", "''")
-    one = [f"SELECT doc_id, '{name}' AS rule, regexp_extract_all(text, '{quoted(p)}') AS l FROM documents" for name, p in RULES.items()]
+    one = [f"SELECT doc_id, '{name}' AS rule, regexp_extract_all(text, '{quoted(p)}') AS l FROM documents" for name, p in SQL_RULES.items()]
     return "SELECT doc_id, rule, CAST(n AS BIGINT) AS n, secret FROM (SELECT doc_id, rule, unnest(generate_series(1, len(l))) AS n, unnest(l) AS secret FROM (" + " UNION ALL ".join(one) + "))"
 
 
