@@ -15,7 +15,7 @@ Defined results: blank lines and null texts have no template and stay; a documen
 lines are dropped and in which nothing but blank lines is left goes; where it is kept, the lines
 that remain are joined by line feeds and n_chars (if there is such a column) is the new
 length.  Lines of a leaf are taken in the order of their hashes, so ties and repeated rows
-do not matter.  Extra columns are kept.
+do not matter.  An empty table stays empty.  Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import SPACE, cut, mix, read, runs, span_hash, text_slices, window_hash
+from vexel.llm.common import SPACE, Rows, cut, lean, mix, read, runs, span_hash, text_slices, token_span_hash, trim, window_hash
 
 LEAD, SIMILAR, MIN_DOCS, SPREAD = 3, 0.7, 10, 0.5
 #: Dropped lines' hashes are broadcast up to so many; beyond, they are joined.
@@ -68,14 +68,7 @@ class Lines:
             leaf = mix(leaf * _U(0x100000001B3) ^ np.where(i < n, token[at] if len(token) else _U(0), _U(0)))
         self.leaf = leaf
         # Hash of the whole line, by tokens.
-        self.hash = leaf.copy()
-        if len(first):
-            from vexel.llm.common import _TOKENS
-
-            up, down = _TOKENS.get(len(token) + 1)
-            total = np.zeros(len(token) + 1, dtype=_U)
-            np.cumsum(token * up[: len(token)], out=total[1:])
-            self.hash = mix(((total[last] - total[first]) * down[first]) ^ mix(n.astype(_U)))
+        self.hash = token_span_hash(token, first, last)
         # The least hash of the rows' word triples.
         rows = len(offsets) - 1
         of = np.searchsorted(tok_start, offsets)
@@ -175,14 +168,15 @@ def recurring_lines(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR,
 
     The first pass over the texts counts leaves; only lines in leaves that recur are looked at in the second.
     """
-    texts = docs.select(F.col("text").alias("text"))
-    leaves = texts.mapInArrow(_leaves(lead), "leaf long, sign long")
+    rows = Rows(docs)
+    texts = rows.df.select(rows["text"].alias("text"))
+    leaves = texts.mapInArrow(lean(_leaves(lead)), "leaf long, sign long")
     hot = cut(leaves.groupBy("leaf", "sign").count().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     form = "leaf long, line long, sign long, doc long, text binary"
     if hot.count() <= broadcast_leaves:
-        lines = texts.mapInArrow(_lines(lead, _sorted(hot.toArrow().column("leaf"))), form)
+        lines = texts.mapInArrow(lean(_lines(lead, _sorted(hot.toArrow().column("leaf")))), form)
     else:
-        lines = texts.mapInArrow(_lines(lead, None), form).join(hot, "leaf", "left_semi")
+        lines = texts.mapInArrow(lean(_lines(lead, None)), form).join(hot, "leaf", "left_semi")
     seen = cut(lines.groupBy("leaf", "line", "sign", "doc").agg(F.first("text").alias("text")))
     distinct = seen.groupBy("leaf", "line").agg(F.first("text").alias("text"))
     named = distinct.groupBy("leaf").applyInArrow(_cluster(similar), "leaf long, line long, template long")
@@ -233,26 +227,33 @@ def _hashes(lead: int):
 def drop_recurring(docs: DataFrame, lead: int = LEAD, similar: float = SIMILAR, min_docs: int = MIN_DOCS, spread: float = SPREAD, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs without the lines of recurring templates."""
     lines = cut(recurring_lines(docs, lead, similar, min_docs, spread))
+    rows = Rows(docs)
+    text = rows["text"]
+    # As functions that are not called again for a filter on what they return.
     if lines.count() <= broadcast_lines:
         drop = _sorted(lines.toArrow().column("line"))
 
-        @F.arrow_udf("string")
         def strip(text: pa.Array) -> pa.Array:
-            return strip_lines(text, drop, lead)
+            out = strip_lines(text, drop, lead)
+            trim()
+            return out
 
-        new = docs.withColumn("__vx_new", strip(F.col("text")))
+        new = rows.df.withColumn("__vx_new", F.arrow_udf(strip, "string").asNondeterministic()(text))
     else:
-        keyed = docs.withColumn("__vx_key", F.xxhash64("text"))
-        each = keyed.select("__vx_key", "text").mapInArrow(_hashes(lead), "__vx_key long, line long").join(lines, "line").groupBy("__vx_key").agg(F.collect_set("line").alias("__vx_drop"))
+        keyed = rows.df.withColumn("__vx_key", F.xxhash64(text))
+        each = keyed.select("__vx_key", text).mapInArrow(lean(_hashes(lead)), "__vx_key long, line long").join(lines, "line").groupBy("__vx_key").agg(F.collect_set("line").alias("__vx_drop"))
 
-        @F.arrow_udf("string")
         def strip_each(text: pa.Array, drop: pa.Array) -> pa.Array:
-            return strip_lines(text, [np.sort(np.array(d or [], dtype=np.int64).view(_U)) for d in drop.to_pylist()], lead)
-
-        new = keyed.join(each, "__vx_key", "left").withColumn("__vx_new", strip_each(F.col("text"), F.col("__vx_drop")))
-    new = new.where("text is null or __vx_new is not null")
-    size = F.when(F.col("__vx_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__vx_new").cast("long")) if "n_chars" in docs.columns else None
-    return new.select(*[F.col("__vx_new").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+            out = strip_lines(text, [np.sort(np.array(d or [], dtype=np.int64).view(_U)) for d in drop.to_pylist()], lead)
+            trim()
+            return out
+
+        new = keyed.join(each, "__vx_key", "left").withColumn("__vx_new", F.arrow_udf(strip_each, "string").asNondeterministic()(text, F.col("__vx_drop")))
+    new = new.where(text.isNull() | F.col("__vx_new").isNotNull())
+    put = {rows.inner_name("text"): F.col("__vx_new")}
+    if "n_chars" in rows:
+        put[rows.inner_name("n_chars")] = F.when(F.col("__vx_new").eqNullSafe(text), rows["n_chars"]).otherwise(F.length("__vx_new").cast(rows.kind("n_chars")))
+    return rows.back(new.select(*[put.get(c, F.col(c)).alias(c) for c in rows.inner]))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
