@@ -1,32 +1,39 @@
 """Packing of documents into windows of equal capacity by Karmarkar-Karp multiway differencing.
 
-A document's size is its length in tokens, estimated as one for every four bytes of UTF-8.
-Sizes beyond CAPACITY are cut into full windows and a rest.  Documents are hashed into cells of
-about CELL documents, so that cells are packed side by side.  In a cell with m windows every
-piece starts as a partial partition (its size and m - 1 empty windows); the two partitions with
-the largest imbalance are merged again and again, largest windows against smallest, until one
-is left.  If its largest window exceeds the capacity, m rises and the cell is packed anew: m
-doubles its step while it fails and halves it after, down to the least m met that holds.
+A document's size is its number of tokens, counted as in token_count.  Sizes beyond the capacity
+are cut, at token positions, into full windows and a rest.  The rests of all documents are put
+in order of size, all over the cluster, and dealt out to cells like cards, forth and back, so
+that cells have nearly the same sizes and the same sum; what one cell has too much, it gets
+too little in the next turn.  A cell has about WINDOWS windows, however many documents those
+take, and CELL_ROWS rests at most; the number of cells follows from the sums.
+
+In a cell with m windows every rest starts as a partial partition (its size and m - 1 empty
+windows); the two partitions with the largest imbalance are merged again and again, largest
+windows against smallest, until one is left.  If its largest window exceeds the capacity, m rises and
+the cell is packed anew: m doubles its step while it fails and halves it after, down to the
+least m met that holds.
 
 Defined results: a null or empty text has size 0 and joins a window without filling it; a
-cell of such texts has one window; null ids are packed like others; repeated rows are packed
-each; equal sizes are taken in the order of id, then text hash; an empty table gives no
-windows.  Extra columns are ignored.
+cell of such texts has one window; null ids are packed like others, and ids keep their type;
+repeated rows are packed each; equal sizes are taken in the order of a hash of id and text;
+an empty table gives no windows.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vexel.llm.common import read
-
-CAPACITY, CELL = 4096, 1024
+from vexel.llm.common import cut, form, lean, read
+from vexel.llm.token_count import count_tokens
 
+CAPACITY, WINDOWS, CELL_ROWS = 4096, 128, 16384
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:
     """Indices of sizes in m windows of nearly equal sums. Partitions hold their non-empty windows only, by falling sum."""
@@ -87,46 +94,58 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def _pack_cell(capacity: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("h", "ascending"), ("n", "ascending")])
-        ids, n = table.column("doc_id").to_pylist(), table.column("n").to_numpy()
-        cell = key[0].as_py()
-        out: dict[str, list] = {c: [] for c in ("window_id", "doc_id", "start", "tokens", "window_tokens")}
-        window = 0
-
-        def add(doc: int, start: int, tokens: int, total: int) -> None:
-            for c, x in zip(out, (f"{cell}-{window}", ids[doc], start, tokens, total)):
-                out[c].append(x)
-
-        owner, start, size = [], [], []
-        for d, tokens in enumerate(n.tolist()):
-            at = 0
-            while tokens - at >= capacity:
-                add(d, at, capacity, capacity)
-                window += 1
-                at += capacity
-            if tokens > at or not tokens:
-                owner.append(d)
-                start.append(at)
-                size.append(tokens - at)
-        for members in pack(size, capacity) if size else []:
-            if members:
-                total = sum(size[i] for i in members)
-                for i in sorted(members):
-                    add(owner[i], start[i], size[i], total)
-                window += 1
-        return pa.table({"window_id": pa.array(out["window_id"], pa.string()), **{c: pa.array(out[c], pa.int64()) for c in list(out)[1:]}})
+        table = table.sort_by([("size", "descending"), ("i", "ascending")])
+        sizes = table.column("size").to_pylist()
+        names, order, totals = [], [], []
+        for window, members in enumerate(w for w in pack(sizes, capacity) if w):
+            total = sum(sizes[i] for i in members)
+            order += sorted(members)
+            names += [f"{key[0].as_py()}-{window}"] * len(members)
+            totals += [total] * len(members)
+        took = table.take(pa.array(order, pa.int64()))
+        return pa.table({"window_id": pa.array(names, pa.string()), "doc_id": took.column("doc_id"), "start": took.column("start"), "tokens": took.column("size"), "window_tokens": pa.array(totals, pa.int64())})
+
+    return run
+
+
+def _ranked(first: dict[int, int]):
+    """Rows of a partition in order, with their place i among all rows; first: the place of each partition's first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = first.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], [*batch.schema.names, "i"])
+            at += batch.num_rows
 
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> DataFrame:
-    """One row for each piece of a document in a window: window_id, doc_id, start and tokens (in tokens of the document), window_tokens (the window's sum). Only ids and sizes are shuffled."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long").alias("n"))
-    count = docs.count()
-    cells = max(1, -(-count // cell))
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, cell_rows: int = CELL_ROWS, vocabulary: str | None = None) -> DataFrame:
+    """One row for each piece of a document in a window: window_id, doc_id, start and tokens (in tokens of the document), window_tokens (the window's sum).
+
+    Texts are read once, where they are; only ids and sizes are shuffled.
+    """
+    kind = docs.schema[[c.lower() for c in docs.columns].index("doc_id")].dataType
+    sized = cut(count_tokens(docs, vocabulary).withColumn("size", F.col("n_tokens") % capacity))
+    ordered = cut(sized.repartitionByRange(F.col("size").desc(), "key").sortWithinPartitions(F.col("size").desc(), "key"))
+    parts = ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
+    first, count = {}, 0
+    for r in sorted(parts):
+        first[r.p], count = count, count + r.n
+    cells = max(1, -(-sum(r.s for r in parts) // (capacity * windows)), -(-count // cell_rows))
+    placed = ordered.mapInArrow(lean(_ranked(first)), T.StructType([*ordered.schema.fields, T.StructField("i", T.LongType())]))
+    out = form(window_id="string", doc_id=kind, start="long", tokens="long", window_tokens="long")
+    full = placed.where(F.col("n_tokens") >= capacity).select("doc_id", "i", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_tokens") / capacity) - 1)).alias("j"))
+    full = full.select(F.concat_ws("+", "i", "j").alias("window_id"), "doc_id", (F.col("j") * capacity).alias("start"), F.lit(capacity).cast("long").alias("tokens"), F.lit(capacity).cast("long").alias("window_tokens"))
+    rest = placed.where((F.col("size") > 0) | (F.col("n_tokens") == 0)).withColumn("start", F.col("n_tokens") - F.col("size"))
+    turn = F.col("i") % (2 * cells)
+    dealt = rest.withColumn("cell", F.when(turn < cells, turn).otherwise(2 * cells - 1 - turn))
     # Cells are light to move and heavy to pack: a number that is given is not coalesced at run time.
-    parts = min(20_000, max(sized.sparkSession.sparkContext.defaultParallelism, cells // 16))
-    return sized.withColumn("cell", F.pmod(F.xxhash64("doc_id", "h"), F.lit(cells))).repartition(min(cells, parts), "cell").groupBy("cell").applyInArrow(_pack_cell(capacity), "window_id string, doc_id long, start long, tokens long, window_tokens long")
+    tasks = min(cells, 20_000, max(docs.sparkSession.sparkContext.defaultParallelism, cells // 16))
+    packed = dealt.repartition(tasks, "cell").groupBy("cell").applyInArrow(_pack_cell(capacity), out)
+    return packed.unionByName(full)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
