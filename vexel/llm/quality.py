@@ -1,37 +1,48 @@
 """Quality rules: robust multivariate outliers among documents of one language and source.
 
 Each document has a vector of transformed text statistics.  Per (lang, source), location and
-scatter are minimum-covariance-determinant estimates: from coordinate-wise quartiles as the
-deterministic start, concentration steps keep the COVER share of documents with the least
-Mahalanobis distances and estimate anew.  A document is rejected when its squared distance,
+scatter are minimum-covariance-determinant estimates.  Several starts (coordinate-wise
+quartiles; mean and covariance; mean's correlations on the quartiles' scales) take two
+concentration steps each; a step keeps the COVER share of documents with the least Mahalanobis distances
+and estimates anew.  The start with the least determinant goes on until no step makes a
+determinant smaller by more than CLOSE.  A document is rejected when its squared distance,
 after the usual consistency factor, is beyond the cutoff.
 
+Groups of any size are estimated alike: an estimate is drawn towards that of the group's
+language, and that towards the estimate over all documents, as if SHRINK documents of the
+wider group had been seen (the posterior of a normal-inverse-Wishart prior); thousands of
+documents outweigh it, a handful do not.
+
 Estimates rest on all documents: a step is one aggregation over the statistics, whose partial
-results are per group and distance bin, never rows gathered in one place.
+results are per group and distance bin, never rows gathered in one place.  Distances are
+sorted into bins of 1/BINS octave; of the bin in which the share is reached, all documents
+count with the weight that makes the share exact.
 
 Defined results: a null or empty text (or one without words) has no statistics and is
-rejected, with a null distance; null lang or source is a value like any other.  Groups of fewer than
-`least` documents are pooled per language, and those still too small over all; a pool below
-`least` has no estimate and keeps its documents, with a null distance.  Statistics without
-spread get a floor of variance, so that ties never divide by zero.  Repeated rows count and
-are judged each.  Extra columns are kept in the stage and ignored in the query.
+rejected, with a null distance; null lang or source is a value like any other.  Statistics without
+spread get a floor of variance, so that ties and groups of one document never divide by zero.
+Repeated rows count and are judged each; an empty table gives no rows.  Extra columns, whatever their names, are kept in the stage
+and ignored in the query.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vexel.llm.common import SPACE, cut, read, runs, small, span_hash, text_slices
+from vexel.llm.common import SPACE, Rows, cut, lean, read, runs, small, span_hash, text_slices, trim
 
 FEATURES = ("word_length", "symbols", "upper", "digits", "distinct", "adjacent_repeats", "line_words")
 P = len(FEATURES)
-#: Share of documents that the concentration steps keep; number of steps; least documents of a group.
-COVER, STEPS, LEAST = 0.75, 4, 200
+#: Share of documents that the concentration steps keep; bins of an octave of distance.
+COVER, BINS = 0.75, 16
+#: Documents of the wider group that an estimate is drawn towards, and the fall of a determinant's logarithm that is none.
+SHRINK, CLOSE = 5.0 * P, 0.01
 #: Estimates are broadcast to the documents up to so many groups (of some 300 bytes); beyond, they are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 #: Cutoff of the squared distance, as a multiple of the chi-square quantile at 0.999 with P degrees of freedom.
@@ -119,34 +130,104 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of the texts that have some, and which these are."""
+    parts = [statistics(data, offsets) for _, data, offsets in text_slices(text)]
+    table = np.concatenate(parts) if parts else np.zeros((0, P))
+    some = ~np.isnan(table[:, 0])
+    return table[some], some
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, l, v) of the rows (g, l, text) that have statistics."""
+    for batch in batches:
+        table, some = _flat(batch.column(2))
+        at = pa.array(np.flatnonzero(some))
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(table) + 1) * P).astype(np.int32)), pa.array(table.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), lists], ["g", "l", "v"])
+
+
 def _vector() -> Column:
     @F.arrow_udf("array<double>")
     def stats(text: pa.Array) -> pa.Array:
-        parts = [statistics(data, offsets) for _, data, offsets in text_slices(text)]
-        flat = np.concatenate(parts) if parts else np.zeros((0, P))
-        at = np.where(np.isnan(flat[:, 0]), 0, P) if len(flat) else np.zeros(0)
-        offsets = np.concatenate([[0], np.cumsum(at)]).astype(np.int32)
-        empty = pa.array(np.isnan(flat[:, 0]) if len(flat) else np.zeros(0, bool))
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[~np.isnan(flat[:, 0])].ravel() if len(flat) else np.zeros(0)))
-        return pa.compute.if_else(empty, pa.scalar(None, pa.list_(pa.float64())), lists)
+        table, some = _flat(text)
+        offsets = np.zeros(len(some) + 1, dtype=np.int32)
+        np.cumsum(np.where(some, P, 0), out=offsets[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))
+        trim()
+        return pa.compute.if_else(pa.array(some), lists, pa.scalar(None, pa.list_(pa.float64())))
 
     return stats
 
 
-def _quantiles(stats: DataFrame) -> DataFrame:
-    """Per group: the start, as mean m0.. and precision q.. of a diagonal scatter, from quartiles by histograms of 1/512."""
-    long = stats.select("g", F.posexplode("v").alias("f", "x")).groupBy("g", "f", F.floor(F.col("x") * 512).alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("g", "f").orderBy("bin")
-    run = long.withColumn("c", F.sum("n").over(w)).withColumn("t", F.sum("n").over(Window.partitionBy("g", "f")))
-    at = lambda q: F.min(F.when(F.col("c") >= q * F.col("t"), (F.col("bin") + 0.5) / 512))
-    spread = F.expr("element_at(array(" + ", ".join(f"{x}D" for x in FLOOR) + "), f + 1)")
-    each = run.groupBy("g", "f").agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("b")).withColumn("s", F.greatest((F.col("b") - F.col("a")) / 1.349, spread))
-    diagonal = each.groupBy("g").agg(*[F.expr(f"max(case when f = {i} then m end) as m{i}") for i in range(P)], *[F.expr(f"max(case when f = {i} then 1 / (s * s) end) as d{i}") for i in range(P)])
-    return diagonal.selectExpr("g", *[f"m{i}" for i in range(P)], *[f"{f'd{i}' if i == j else '0D'} as q{i}_{j}" for i, j in _PAIRS])
-
-
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _PARAMS = [f"m{i}" for i in range(P)] + [f"q{i}_{j}" for i, j in _PAIRS]
+_MOMENTS = {**{f"s{i}": f"v[{i}]" for i in range(P)}, **{f"t{i}_{j}": f"v[{i}] * v[{j}]" for i, j in _PAIRS}}
+
+
+def _square(table: np.ndarray) -> np.ndarray:
+    """Symmetric matrices from their upper halves, a row each."""
+    out = np.empty((len(table), P, P))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[:, i, j] = out[:, j, i] = table[:, k]
+    return out
+
+
+def _half(matrices: np.ndarray) -> np.ndarray:
+    return np.column_stack([matrices[:, i, j] for i, j in _PAIRS]) if len(matrices) else np.zeros((0, len(_PAIRS)))
+
+
+def _numbers(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+
+
+def _rows(keys: list[pa.Array], mean: np.ndarray, scatter: np.ndarray) -> pa.RecordBatch:
+    """(key, s, m.., q.., d): location, precision and logarithm of the determinant."""
+    table = np.column_stack([mean, _half(np.linalg.inv(scatter)), np.linalg.slogdet(scatter)[1]])
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(np.ascontiguousarray(x)) for x in table.T]], ["key", "s", *_PARAMS, "d"])
+
+
+_FORM = "key string, s int, " + ", ".join(f"{c} double" for c in [*_PARAMS, "d"])
+_FLOOR2 = np.diag(np.array(FLOOR) ** 2)
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, n, sums of moments, quartiles a.., m.., b..): the three starts."""
+    for batch in batches:
+        n = _numbers(batch, ["n"])
+        mean = _numbers(batch, [f"s{i}" for i in range(P)]) / n
+        scatter = _square(_numbers(batch, [f"t{i}_{j}" for i, j in _PAIRS]) / n) - mean[:, :, None] * mean[:, None, :] + _FLOOR2
+        a, m, b = (_numbers(batch, [f"{x}{i}" for i in range(P)]) for x in "amb")
+        scale = np.maximum((b - a) / 1.349, FLOOR)
+        spread = np.sqrt(np.einsum("kii->ki", scatter))
+        ratio = scale / spread
+        for s, (at, matrix) in enumerate(((m, np.einsum("ki,ij->kij", scale**2, np.eye(P))), (mean, scatter), (m, scatter * ratio[:, :, None] * ratio[:, None, :]))):
+            yield _rows([batch.column("key"), pa.array([s] * batch.num_rows, pa.int32())], at, matrix)
+
+
+def consistency(cover: float) -> float:
+    """At the normal distribution the covered share understates the scatter by this factor."""
+    return cover / chi2_cdf(chi2_quantile(cover, P), P + 2)
+
+
+def _estimates(cover: float, shrink: float):
+    """Of (key, s, n, sums of moments, the wider group's m.. and q..): the new estimates."""
+    factor = consistency(cover)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = _numbers(batch, ["n"])
+            mean = _numbers(batch, [f"s{i}" for i in range(P)]) / n
+            scatter = (_square(_numbers(batch, [f"t{i}_{j}" for i, j in _PAIRS]) / n) - mean[:, :, None] * mean[:, None, :]) * factor
+            wide = _numbers(batch, [f"m{i}" for i in range(P)])
+            prior = np.linalg.inv(_square(_numbers(batch, [f"q{i}_{j}" for i, j in _PAIRS])))
+            off, n3 = mean - wide, n[:, :, None]
+            out = (n3 * scatter + shrink * prior + n3 * shrink / (n3 + shrink) * off[:, :, None] * off[:, None, :]) / (n3 + shrink) + _FLOOR2
+            yield _rows([batch.column("key"), batch.column("s")], (n * mean + shrink * wide) / (n + shrink), out)
+
+    return run
 
 
 def _distance(vector: str = "v", mark: str = "") -> Column:
@@ -155,39 +236,17 @@ def _distance(vector: str = "v", mark: str = "") -> Column:
     return F.expr(" + ".join(f"{1 if i == j else 2} * {mark}q{i}_{j} * {x[i]} * {x[j]}" for i, j in _PAIRS))
 
 
-def _concentrate(stats: DataFrame, params: DataFrame, cover: float) -> DataFrame:
-    """One step: mean and precision of the share `cover` of each group that is nearest under params. Bins of the distance are 1/64 of an octave, and a bin counts as a whole."""
-    near = stats.join(params, "g").withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * 64))
-    moments = {**{f"s{i}": f"v[{i}]" for i in range(P)}, **{f"t{i}_{j}": f"v[{i}] * v[{j}]" for i, j in _PAIRS}}
-    bins = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *[F.expr(f"sum({e}) as {c}") for c, e in moments.items()])
-    w = Window.partitionBy("g").orderBy("bin")
-    kept = bins.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("g"))).where(F.col("before") < cover * F.col("all"))
-    names = ["n", *moments]
-    total = kept.groupBy("g").agg(*[F.expr(f"cast(sum({c}) as double) as {c}") for c in names])
-    floor = np.array(FLOOR) ** 2
-    # Consistency at the normal distribution: the covered share understates the scatter.
-    q = chi2_quantile(cover, P)
-    factor = cover / chi2_cdf(q, P + 2)
-
-    def invert(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for r in frame[["g", *names]].itertuples(index=False):
-                n, mean = r[1], np.array(r[2 : 2 + P]) / r[1]
-                scatter = np.zeros((P, P))
-                k = 2 + P
-                for i in range(P):
-                    for j in range(i, P):
-                        scatter[i, j] = scatter[j, i] = r[k] / n - mean[i] * mean[j]
-                        k += 1
-                scatter = scatter * factor + np.diag(floor)
-                precision = np.linalg.inv(scatter)
-                rows.append((r[0], *mean, *[precision[i, j] for i in range(P) for j in range(i, P)]))
-            yield pd.DataFrame(rows, columns=["g", *_PARAMS])
-
-    return total.mapInPandas(invert, "g string, " + ", ".join(f"{c} double" for c in _PARAMS))
+def _concentrate(table: DataFrame, params: DataFrame, wider: DataFrame, cover: float, shrink: float) -> DataFrame:
+    """One step for every (key, s) of params. wider: (key, up), the wider group of each group; '^' is what all documents are drawn towards."""
+    near = table.join(params, "key").withColumn("bin", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * BINS))
+    bins = near.groupBy("key", "s", "bin").agg(F.count("*").alias("n"), *[F.expr(f"sum({e}) as {c}") for c, e in _MOMENTS.items()])
+    group = Window.partitionBy("key", "s")
+    before = F.sum("n").over(group.orderBy("bin")) - F.col("n")
+    weighted = bins.withColumn("w", F.least(F.lit(1.0), (cover * F.sum("n").over(group) - before) / F.col("n"))).where("w > 0")
+    total = weighted.groupBy("key", "s").agg(*[F.expr(f"sum(w * {c}) as {c}") for c in ("n", *_MOMENTS)])
+    above = params.select(F.col("key").alias("up"), "s", *_PARAMS)
+    new = total.join(wider, "key").join(above, ["up", "s"]).drop("up").mapInArrow(_estimates(cover, shrink), _FORM)
+    return new.unionByName(params.where("key = '^'"))
 
 
 def _group(lang: Column, source: Column) -> Column:
@@ -195,30 +254,60 @@ def _group(lang: Column, source: Column) -> Column:
     return F.concat(part(lang), F.lit("/"), part(source))
 
 
-def assess(docs: DataFrame, least: int = LEAST, cover: float = COVER, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
-    """docs with __vx_distance (squared, null where there is none) and __vx_reject. Statistics are taken in two passes over the texts, so that no text is shuffled."""
-    stats = cut(docs.select(_group(F.col("lang").cast("string"), F.col("source").cast("string")).alias("g0"), F.coalesce(F.col("lang").cast("string"), F.lit("-")).alias("l"), _vector()(F.col("text")).alias("v")).where("v is not null"))
-    sizes = stats.groupBy("g0", "l").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("small", F.col("n") < least).withColumn("ln", F.sum(F.when(F.col("small"), F.col("n")).otherwise(0)).over(Window.partitionBy("l")))
-    naming = cut(sizes.select("g0", F.when(~F.col("small"), F.col("g0")).when(F.col("ln") >= least, F.concat(F.lit("pool/"), "l")).otherwise(F.lit("pool")).alias("g")))
-    table = stats.join(small(naming, BROADCAST_GROUPS), "g0").select("g", "v")
-    params = cut(_quantiles(table))
-    for _ in range(steps):
-        params = cut(_concentrate(table, small(params, BROADCAST_GROUPS), cover))
-    enough = table.groupBy("g").count().where(F.col("count") >= least).select("g")
-    params = cut(naming.join(params.join(enough, "g", "left_semi"), "g").drop("g").toDF("__vx_g", *[f"__vx_{c}" for c in _PARAMS]))
-    with_vector = docs.withColumn("__vx_v", _vector()(F.col("text"))).withColumn("__vx_g", _group(F.col("lang").cast("string"), F.col("source").cast("string")))
-    joined = with_vector.join(small(params, BROADCAST_GROUPS), "__vx_g", "left")
-    distance = _distance("__vx_v", "__vx_")
+def estimate(stats: DataFrame, cover: float = COVER, shrink: float = SHRINK, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """(key, m.., q..): the estimates of every group g of stats (g, l, v). Groups, languages and all documents are estimated side by side."""
+    keys = F.array(F.lit("*"), F.concat(F.lit("l"), "l"), F.concat(F.lit("g"), "g"))
+    names = stats.select("g", "l").distinct()
+    wider = names.select(F.explode(F.array(*[F.struct(a.alias("key"), b.alias("up")) for a, b in ((F.lit("*"), F.lit("^")), (F.concat(F.lit("l"), "l"), F.lit("*")), (F.concat(F.lit("g"), "g"), F.concat(F.lit("l"), "l")))])).alias("x")).select("x.*").distinct()
+    wider = cut(wider)
+    few = wider.count() <= broadcast_groups
+    hint = F.broadcast if few else (lambda df: df)
+    table = stats.select(F.explode(keys).alias("key"), "v")
+    # Quartiles from histograms of 1/512, counted once by group and added up for the wider groups.
+    counts = stats.select("g", "l", F.posexplode("v").alias("f", "x")).groupBy("g", "l", "f", F.floor(F.col("x") * 512).alias("bin")).agg(F.count("*").alias("n"))
+    counts = counts.select(F.explode(keys).alias("key"), "f", "bin", "n").groupBy("key", "f", "bin").agg(F.sum("n").alias("n"))
+    each = Window.partitionBy("key", "f")
+    run = counts.withColumn("c", F.sum("n").over(each.orderBy("bin"))).withColumn("t", F.sum("n").over(each))
+    at = lambda q: F.min(F.when(F.col("c") >= q * F.col("t"), (F.col("bin") + 0.5) / 512))
+    quartiles = run.groupBy("key", "f").agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("b"))
+    quartiles = quartiles.groupBy("key").agg(*[F.expr(f"max(case when f = {i} then {x} end) as {x}{i}") for x in "amb" for i in range(P)])
+    sums = table.groupBy("key").agg(F.count("*").cast("double").alias("n"), *[F.expr(f"sum({e}) as {c}") for c, e in _MOMENTS.items()])
+    first = cut(sums.join(quartiles, "key").mapInArrow(_starts, _FORM))
+    # All documents are drawn towards their own quartiles.
+    params = cut(first.unionByName(first.where("key = '*' and s = 0").drop("s", "key").select(F.lit("^").alias("key"), F.explode(F.array(*[F.lit(s) for s in range(3)])).alias("s"), *_PARAMS, "d")))
+    for _ in range(2):
+        params = cut(_concentrate(table, hint(params), hint(wider), cover, shrink))
+    best = params.groupBy("key").agg(F.min_by(F.struct(*_PARAMS, "d"), F.struct("d", "s")).alias("x")).select("key", F.lit(0).alias("s"), "x.*")
+    params = cut(best)
+    while True:
+        new = cut(_concentrate(table, hint(params), hint(wider), cover, shrink))
+        fall = new.alias("a").join(hint(params).alias("b"), "key").agg(F.max(F.col("b.d") - F.col("a.d"))).first()[0]
+        params = new
+        if fall is None or not fall > CLOSE:
+            return params.select("key", *_PARAMS)
+
+
+def assess(docs: DataFrame, cover: float = COVER, cutoff: float = CUTOFF, shrink: float = SHRINK, broadcast_groups: int = BROADCAST_GROUPS) -> tuple[Rows, DataFrame]:
+    """docs under safe names, and these with __vx_distance (squared, null where there is none) and __vx_reject. Statistics are taken in two passes over the texts, so that no text is shuffled."""
+    rows = Rows(docs)
+    lang, source, text = rows["lang"].cast("string"), rows["source"].cast("string"), rows["text"]
+    tongue = F.coalesce(F.concat(F.lit(":"), lang), F.lit("-"))
+    stats = cut(rows.df.select(_group(lang, source).alias("g"), tongue.alias("l"), text.alias("text")).mapInArrow(lean(_measure), "g string, l string, v array<double>"))
+    params = estimate(stats, cover, shrink, broadcast_groups).where("key like 'g%'")
+    params = cut(params.select(F.substring("key", 2, 1 << 30).alias("__vx_g"), *[F.col(c).alias(f"__vx_{c}") for c in _PARAMS]))
+    joined = rows.df.withColumn("__vx_v", _vector()(text)).withColumn("__vx_g", _group(lang, source)).join(small(params, broadcast_groups), "__vx_g", "left")
     limit = cutoff * chi2_quantile(0.999, P)
-    return joined.withColumn("__vx_distance", distance).select(*docs.columns, "__vx_distance", (F.col("__vx_v").isNull() | F.coalesce(F.col("__vx_distance") > limit, F.lit(False))).alias("__vx_reject"))
+    judged = joined.withColumn("__vx_distance", _distance("__vx_v", "__vx_"))
+    return rows, judged.select(*rows.inner, "__vx_distance", (F.col("__vx_v").isNull() | F.coalesce(F.col("__vx_distance") > limit, F.lit(False))).alias("__vx_reject"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, distance (squared, 3 decimals) and rejected, for every document."""
-    return assess(read(spark, sf_dir, "documents")).select("doc_id", F.round("__vx_distance", 3).alias("distance"), F.col("__vx_reject").alias("rejected"))
+    rows, judged = assess(read(spark, sf_dir, "documents"))
+    return judged.select(rows["doc_id"].alias("doc_id"), F.round("__vx_distance", 3).alias("distance"), F.col("__vx_reject").alias("rejected"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those rejected."""
-    return assess(docs).where(~F.col("__vx_reject")).select(*docs.columns)
+    rows, judged = assess(docs)
+    return rows.back(judged.where(~F.col("__vx_reject")))
