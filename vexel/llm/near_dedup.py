@@ -1,16 +1,24 @@
 """MinHash near-duplicate groups by an LSH forest.
 
-Each document has a signature of TREES x DEPTH minima over hashed word shingles.  A tree is
-a sorted order of the documents by one run of DEPTH minima.  In every order a document meets
-its nearest neighbours, which are those with the longest common prefix: in a dense region
-they agree in many minima, in a sparse one in few, so that the depth adapts by itself.  The
-pairs met are verified by the share of equal minima in the whole signatures and grouped into
-connected components.
+Each document has a signature of TREES x DEPTH minima over hashed word shingles, 16 bits of
+each.  A tree is a sorted order of the documents by one run of DEPTH minima.  The length of
+the common prefix of neighbours is computed along the order; every document walks outwards on
+both sides, always to the side with the longer common prefix, until it has met REACH others
+or no minimum is shared.  So the walk ends at another depth in every region: in a dense one it
+stays among documents that agree in many minima, in a sparse one it goes on to those that share
+the first minimum only.  A document that REACH nearer ones crowd out in one tree has 15 more.
+
+Pairs whose signatures agree in THRESHOLD + MARGIN of the minima or more are near, those below
+THRESHOLD - MARGIN are not (MARGIN is 3.4 standard errors at the threshold), and all between
+are decided by the exact Jaccard similarity of their texts' shingles.  Near pairs are grouped into
+connected components.  Documents of equal signatures are one class with one representative,
+so that thousands of copies cost thousands of rows and not their pairs.
 
 Defined results: a null or empty text, or one without words, is in no group; texts shorter
 than the shingle form one shingle; rows with equal id and text are one document, which counts
-as a group of its own when it is repeated; ties in a sorted order fall by key and cannot hide
-a pair, since equal signatures are joined before.  Extra columns are ignored.
+as a group of its own when it is repeated; ties in a sorted order fall by a hash of key and
+tree; ids keep their type, and of a group the least id stays (null last).  Extra columns are
+ignored in the query and kept in the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vexel.llm.common import cut, read, text_slices, window_hash, words
+from vexel.llm.common import Rows, cut, lean, read, small, text_slices, window_hash, words
 
-TREES, DEPTH, SHINGLE, THRESHOLD, NEIGHBOURS = 16, 8, 3, 0.55, 2
+TREES, DEPTH, SHINGLE, THRESHOLD, MARGIN, REACH = 16, 8, 3, 0.55, 0.15, 6
+#: Keys of documents whose texts are compared are broadcast up to so many; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +62,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have shingles, and their n minima as big-endian 32-bit numbers."""
+    """Rows that have shingles, and the low 16 bits of their n minima."""
     values, first = shingles(data, offsets, k)
     some = np.flatnonzero(np.diff(first))
-    out = np.empty((len(some), n), dtype=np.uint32)
+    out = np.empty((len(some), n), dtype=np.uint16)
     if len(some):
         a, b = _multipliers(n)
         at = first[some]
         for j in range(n):
-            out[:, j] = np.minimum.reduceat(((values * a[j] + b[j]) >> np.uint64(32)).astype(np.uint32), at)
-    return some, out.astype(">u4")
+            out[:, j] = np.minimum.reduceat(((values * a[j] + b[j]) >> np.uint64(32)).astype(np.uint32), at) & 0xFFFF
+    return some, out
 
 
 def _sign(k: int, n: int):
@@ -71,79 +81,124 @@ def _sign(k: int, n: int):
             for at, data, offsets in text_slices(batch.column(1), lower=True):
                 some, sig = signatures(data, offsets, k, n)
                 if len(some):
-                    raw = np.ascontiguousarray(sig).tobytes()
-                    width = 4 * n
-                    binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.arange(len(some) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(some + at)), binary], ["__vx_key", "__vx_sig"])
+                    ends = (np.arange(len(some) + 1) * 2 * n).astype(np.int32)
+                    binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(some + at)), binary], ["key", "sig"])
 
     return run
 
 
-def _neighbours(reach: int):
-    """Of the sorted rows of a partition: pairs of rows of a tree up to `reach` apart that share the first minimum; and the rows at the partition's ends."""
+def _labels(column: pa.Array, depth: int) -> np.ndarray:
+    """Rows x depth minima of a binary column of that width."""
+    at = column.offset * 2 * depth
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at : at + len(column) * 2 * depth].view(np.uint16).reshape(-1, depth)
+
+
+def nearest(prefix: np.ndarray, reach: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that rows low to high - 1 of a sorted order choose: of both sides, the `reach` rows with the longest common prefixes, nearer ones first. prefix: the common prefix of each row and the next."""
+    n = len(prefix) + 1
+    right, left = np.zeros((reach + 1, n), np.int8), np.zeros((reach + 1, n), np.int8)
+    right[0] = left[0] = 127
+    for j in range(1, reach + 1):
+        if j < n:
+            right[j, : n - j] = np.minimum(right[j - 1, : n - j], prefix[j - 1 :])
+            left[j, j:] = np.minimum(left[j - 1, j:], prefix[: n - j])
+    a, b = [], []
+    rows = np.arange(low, high)
+    for mine, other, sign in ((right, left, 1), (left, right, -1)):
+        for j in range(1, reach + 1):
+            own = mine[j, low:high]
+            ahead = sum(((other[i, low:high] > own) | ((other[i, low:high] == own) & (i < j + (sign > 0)))).astype(np.int8) for i in range(1, reach + 1))
+            chosen = rows[(own > 0) & (j + ahead <= reach)]
+            a.append(chosen)
+            b.append(chosen + sign * j)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _neighbours(reach: int, depth: int):
+    """Of the sorted rows (tree, label, key) of a partition: the pairs that its rows choose; and the rows at the partition's ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        names = ["a", "b", "tree", "label"]
+
+        def pairs(table: pa.RecordBatch, low: int, high: int) -> pa.RecordBatch:
+            tree, key, label = table.column(0).to_numpy(), table.column(2).to_numpy(), _labels(table.column(1), depth)
+            same = (label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            a, b = nearest(np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1, dtype=np.int8), reach, low, high)
+            return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names)
 
-        names = ["a", "b", "pid", "tree", "label"]
-        pid = TaskContext.get().partitionId()
         head: list[pa.RecordBatch] = []
         held = 0
-        tail = None
+        kept, done = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if held < reach:
                 head.append(batch.slice(0, reach - held))
                 held += head[-1].num_rows
-            old = 0 if tail is None else tail.num_rows
-            rows = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            tree, key = rows.column(0).to_numpy(), rows.column(2).to_numpy()
-            label = rows.column(1)
-            width = len(label[0].as_py())
-            first = np.frombuffer(label.buffers()[2], dtype=np.uint8)[label.offset * width : (label.offset + len(label)) * width].reshape(-1, width)[:, :4].copy().view(np.uint32).ravel()
-            a, b = [], []
-            for j in range(1, reach + 1):
-                hit = np.flatnonzero((tree[j:] == tree[:-j]) & (first[j:] == first[:-j]))
-                hit = hit[hit + j >= old]
-                a.append(key[hit])
-                b.append(key[hit + j])
-            tail = rows.slice(max(0, rows.num_rows - reach))
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names)
-        for part in [*head, *([tail] if tail is not None else [])]:
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.nulls(n, pa.int64()), pa.array([pid] * n, pa.int32()), part.column(0), part.column(1)], names)
+            table = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            n = table.num_rows
+            if n - reach > done:
+                yield pairs(table, done, n - reach)
+                done = n - reach
+            first = max(0, done - reach)
+            kept, done = table.slice(first), done - first
+        if kept is not None:
+            if kept.num_rows > done:
+                yield pairs(kept, done, kept.num_rows)
+            for part in [*head, kept.slice(max(0, kept.num_rows - reach))]:
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.nulls(part.num_rows, pa.int64()), part.column(0), part.column(1)], names)
 
     return run
 
 
 def _forest_pairs(reps: DataFrame, trees: int, depth: int, reach: int) -> DataFrame:
-    """Distinct pairs a < b of keys that are neighbours in some tree. reps: __vx_key, __vx_sig."""
-    labels = reps.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "__vx_sig", "__vx_key").select("tree", F.expr(f"substring(__vx_sig, tree * {4 * depth} + 1, {4 * depth})").alias("label"), "__vx_key")
-    ordered = labels.repartitionByRange("tree", "label", "__vx_key").sortWithinPartitions("tree", "label", "__vx_key")
-    met = cut(ordered.mapInArrow(_neighbours(reach), "a long, b long, pid int, tree int, label binary"))
+    """Distinct pairs a < b of keys that are neighbours in some tree. reps: key, sig."""
+    labels = reps.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig", "key").select("tree", F.expr(f"substring(sig, tree * {2 * depth} + 1, {2 * depth})").alias("label"), "key").withColumn("tie", F.hash("key", "tree"))
+    order = ["tree", "label", "tie", "key"]
+    ordered = labels.repartitionByRange(*order).sortWithinPartitions(*order)
+    met = cut(ordered.select("tree", "label", "key").mapInArrow(lean(_neighbours(reach, depth)), "a long, b long, tree int, label binary"))
     inner = met.where("b is not null").select("a", "b")
-    # Neighbours across the ends of partitions: a few rows for each partition, once more in order.
+    # Across the ends of partitions, a few rows for each, all that share the first minimum within reach meet.
     ends = met.where("b is null").select("tree", "label", F.col("a").alias("key")).distinct()
-    w = Window.partitionBy("tree", F.expr("substring(label, 1, 4)")).orderBy("label", "key")
-    across = ends.select("key", *[F.lag("key", i).over(w).alias(f"p{i}") for i in range(1, reach + 1)])
-    across = across.select(F.explode(F.array(*[f"p{i}" for i in range(1, reach + 1)])).alias("a"), F.col("key").alias("b")).where("a is not null")
+    w = Window.partitionBy("tree", F.expr("substring(label, 1, 2)")).orderBy("label", F.hash("key", "tree"), "key")
+    across = ends.select("key", F.array(*[F.lag("key", i).over(w) for i in range(1, reach + 1)]).alias("past")).select(F.col("key").alias("a"), F.explode("past").alias("b")).where("b is not null")
     return inner.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _agreement(n: int) -> Column:
-    @F.pandas_udf("double")
-    def share(x, y):
-        import pandas as pd
+def _agree(n: int, least: float):
+    """Of (a, b, sa, sb): the share of equal minima, where it is at least that."""
 
-        if not len(x):
-            return pd.Series([], dtype="float64")
-        u = np.frombuffer(b"".join(x), dtype=np.uint32).reshape(len(x), n)
-        v = np.frombuffer(b"".join(y), dtype=np.uint32).reshape(len(y), n)
-        return pd.Series((u == v).mean(axis=1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                share = (_labels(batch.column(2), n) == _labels(batch.column(3), n)).mean(axis=1)
+                some = pa.array(np.flatnonzero(share >= least))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(share).take(some)], ["a", "b", "share"])
 
-    return share(F.col("sa"), F.col("sb"))
+    return run
+
+
+def _exact(k: int, least: float):
+    """Of (a, b, ta, tb): the pairs whose texts have that Jaccard similarity of shingles, at least."""
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        for _, data, offsets in text_slices(column, lower=True):
+            values, first = shingles(data, offsets, k)
+            out += [np.unique(values[i:j]) for i, j in zip(first, first[1:])]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for i, (u, v) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)))):
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                near[i] = both >= least * (len(u) + len(v) - both)
+            some = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some)], ["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,47 +210,54 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "m", "u")
-        edges = cut(small.select(F.col("u"), F.col("m").alias("v")).union(small.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        near = large.join(low, "u").select(F.col("v").alias("x"), "m", "u")
+        edges = cut(near.select(F.col("u"), F.col("m").alias("v")).union(near.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.expr("sum(cast(hash(u, v) as decimal(20, 0)))"), F.lit(0))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = now
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, shingle: int = SHINGLE, threshold: float = THRESHOLD, reach: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that are in a group of at least two: __vx_key, id, __vx_root (the key of the member that stays), rows (how often the row is there).
-
-    The member that stays has the least id (null last), then the least key.
-    """
+def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, shingle: int = SHINGLE, threshold: float = THRESHOLD, margin: float = MARGIN, reach: int = REACH, broadcast_keys: int = BROADCAST_KEYS) -> tuple[Rows, Column, DataFrame]:
+    """docs under safe names, a document's key, and the documents that are in a group of at least two: key, doc_id, root (the key of the member that stays), group_id, group_size, links (different texts that were met and are near), rows (how often the row is there)."""
+    rows = Rows(docs)
     n = trees * depth
-    keyed = docs.select(F.xxhash64(id_col, text_col).alias("__vx_key"), F.col(id_col).alias("__vx_id"), F.col(text_col).alias("__vx_text"))
-    sig = cut(keyed.select("__vx_key", "__vx_text").mapInArrow(_sign(shingle, n), "__vx_key long, __vx_sig binary"))
-    sig = sig.withColumn("__vx_same", F.xxhash64("__vx_sig"))
-    # Equal signatures are joined by a star, so that thousands of copies cost thousands of edges.
-    same = sig.groupBy("__vx_same").agg(F.min("__vx_key").alias("rep"))
-    stars = sig.select("__vx_same", "__vx_key").join(same, "__vx_same").where("__vx_key <> rep").select(F.col("rep").alias("a"), F.col("__vx_key").alias("b"))
-    reps = sig.join(same, "__vx_same").where("__vx_key = rep").select("__vx_key", "__vx_sig").dropDuplicates(["__vx_key"])
+    key = F.xxhash64(rows["doc_id"], rows["text"])
+    keyed = rows.df.select(key.alias("key"), rows["doc_id"].alias("id"), rows["text"].alias("text"))
+    sig = cut(keyed.select("key", "text").mapInArrow(lean(_sign(shingle, n)), "key long, sig binary").withColumn("same", F.xxhash64("sig")))
+    # Equal signatures are one class, which its least key stands for.
+    same = cut(sig.groupBy("same").agg(F.min("key").alias("rep"), F.max("key").alias("last")))
+    reps = cut(sig.join(same.select("same", F.col("rep").alias("key")), ["same", "key"], "left_semi").select("key", "sig").dropDuplicates(["key"]))
     pairs = _forest_pairs(reps, trees, depth, reach)
-    checked = pairs.join(reps.select(F.col("__vx_key").alias("a"), F.col("__vx_sig").alias("sa")), "a").join(reps.select(F.col("__vx_key").alias("b"), F.col("__vx_sig").alias("sb")), "b").where(_agreement(n) >= threshold).select("a", "b")
-    groups = components(checked.union(stars))
-    ids = keyed.select("__vx_key", "__vx_id").groupBy("__vx_key").agg(F.min("__vx_id").alias("__vx_id"), F.count("*").alias("rows"))
-    has_words = sig.select("__vx_key").distinct()
-    repeated = ids.where("rows > 1").join(has_words, "__vx_key", "left_semi")
-    members = ids.join(groups.withColumnRenamed("node", "__vx_key"), "__vx_key").select("__vx_key", "__vx_id", "rows", "root").union(repeated.join(groups.withColumnRenamed("node", "__vx_key"), "__vx_key", "left_anti").select("__vx_key", "__vx_id", "rows", F.col("__vx_key").alias("root")))
-    stays = members.groupBy("root").agg(F.min(F.struct(F.col("__vx_id").isNull().alias("n"), "__vx_id", "__vx_key")).alias("s"), F.sum("rows").alias("size"))
-    return members.join(stays, "root").select("__vx_key", F.col("__vx_id").alias(id_col), F.col("s.__vx_key").alias("__vx_root"), F.col("s.__vx_id").alias("group_id"), F.col("size").alias("group_size"), "rows")
+    met = pairs.join(reps.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
+    met = cut(met.select("a", "b", "sa", "sb").mapInArrow(lean(_agree(n, threshold - margin)), "a long, b long, share double"))
+    close = met.where(F.col("share") < threshold + margin).select("a", "b")
+    wanted = cut(close.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    texts = cut(keyed.select("key", "text").join(small(wanted, broadcast_keys), "key", "left_semi").dropDuplicates(["key"]))
+    exact = close.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    exact = exact.select("a", "b", "ta", "tb").mapInArrow(lean(_exact(shingle, threshold)), "a long, b long")
+    near = cut(met.where(F.col("share") >= threshold + margin).select("a", "b").union(exact))
+    groups = components(near)
+    links = near.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    # The class of each document, its root, and how often each document is there.
+    ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    classes = same.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
+    classes = classes.select("same", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), (F.col("root").isNotNull() | (F.col("rep") != F.col("last"))).alias("many"))
+    members = sig.select("key", "same").distinct().join(classes, "same").join(ids, "key").where("many or rows > 1").select("key", "id", "rows", "root", "links")
+    stays = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("s"), F.sum("rows").alias("group_size"))
+    found = members.join(stays, "root").select("key", F.col("id").alias("doc_id"), F.col("s.key").alias("root"), F.col("s.id").alias("group_id"), "group_size", "links", "rows")
+    return rows, key, found
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups of all documents: doc_id, group_id (the id that stays), group_size, for each document in a group of two or more."""
-    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size")
+    """Near-duplicate groups of all documents: doc_id, group_id (the id that stays), group_size, links, for each document in a group of two or more."""
+    return near_duplicates(read(spark, sf_dir, "documents"))[2].select("doc_id", "group_id", "group_size", "links")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the members of near-duplicate groups that do not stay; of repeated rows one stays."""
-    names = docs.columns
-    found = cut(near_duplicates(docs).select("__vx_key", F.when(F.col("__vx_key") == F.col("__vx_root"), F.col("rows")).otherwise(F.lit(0)).alias("__vx_n")))
-    keyed = docs.withColumn("__vx_key", F.xxhash64("doc_id", "text")).join(found, "__vx_key", "left").where("__vx_n is null or __vx_n > 0")
-    once = keyed.where("__vx_n is null or __vx_n = 1").select(names)
-    return once.unionByName(keyed.where("__vx_n > 1").dropDuplicates(["__vx_key"]).select(names))
+    rows, key, found = near_duplicates(docs)
+    found = cut(found.select(F.col("key").alias("__vx_key"), F.when(F.col("key") == F.col("root"), F.col("rows")).otherwise(F.lit(0)).alias("__vx_n")))
+    keyed = rows.df.withColumn("__vx_key", key).join(small(found, BROADCAST_KEYS), "__vx_key", "left").where("__vx_n is null or __vx_n > 0")
+    once = keyed.where("__vx_n is null or __vx_n = 1")
+    return rows.back(once).union(rows.back(keyed.where("__vx_n > 1").dropDuplicates(["__vx_key"])))
