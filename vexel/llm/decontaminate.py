@@ -8,13 +8,18 @@ hits (one Aho-Corasick pass over each text) find all candidates, and Myers' bit-
 distance over the neighbourhood of the hits verifies them.  The distance reported is thus the
 least over all parts of the document.
 
-Items are broadcast when their texts are within BROADCAST_BYTES; a larger benchmark is split
-into shards within it, each with a pass of its own over the documents.
+An item too short for any edit has the budget 0; it must stand in the document as whole words,
+since a few letters stand inside some word of most texts.
 
-Defined results: items of fewer than MIN_BYTES bytes after reduction, and null ones, match
-nothing; null and empty texts leak nothing; repeated rows are judged each, and a repeated
+Items are broadcast when their texts are within BROADCAST_BYTES; a larger benchmark is reduced
+and written to the shared folder in shards within it, without passing through the driver, and
+each shard has a pass of its own over the documents.
+
+Defined results: null items, and those without words, match nothing;
+null and empty texts leak nothing; repeated rows are judged each, and a repeated
 item counts for each row's item_id; of equal distances there is only the least number to
-report, so ties do not show.  Extra columns are kept in the stage and ignored in the query.
+report, so ties do not show; ids keep their type.  Extra columns, whatever their names, are
+kept in the stage and ignored in the query.
 """
 
 from __future__ import annotations
@@ -26,12 +31,13 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import WORD, read, text_slices
+from vexel.llm.common import WORD, Rows, lean, read, scratch, text_slices, trim
 
-RATE, MIN_BYTES = 0.05, 24
+RATE = 0.05
 BROADCAST_BYTES = 32_000_000
 
 _SQUEEZE = np.where(WORD, np.arange(256), 32).astype(np.uint8)
@@ -59,7 +65,7 @@ def reduce_slice(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def reduce_text(text: str | None) -> bytes:
     """An item's text, reduced as the documents are."""
-    data = np.frombuffer((text or "").lower().encode(), dtype=np.uint8)
+    data = np.frombuffer(pc.utf8_lower(pa.scalar(text or "")).as_py().encode(), dtype=np.uint8)
     return bytes(reduce_slice(data, np.array([0, len(data)]))[0]).strip()
 
 
@@ -131,6 +137,11 @@ class Matcher:
         found = []
         for (row, i), ranges in spans.items():
             item, k = self.items[i], self.budget[i]
+            if not k:
+                # Whole words; a row stands between line feeds.
+                if any(raw[a - 1] in b"\n " and (b == len(raw) or raw[b] in b"\n ") and raw[a:b] == item for a, b in ranges):
+                    found.append((row, i, 0))
+                continue
             ranges.sort()
             best, lo, hi = k + 1, *ranges[0]
             for a, b in [*ranges[1:], (1 << 62, 1 << 62)]:
@@ -149,49 +160,64 @@ _ready: dict = {}
 
 
 def _matcher(held, rate: float) -> Matcher:
-    """The matcher of a broadcast, built once for each worker."""
-    name, items = held.value
+    """The matcher of a shard, built once for each worker."""
+    name, items, path, shard = held.value
     if (name, rate) not in _ready:
-        if len(_ready) >= 2:
-            _ready.clear()
+        _ready.clear()
+        if path is not None:
+            import pyarrow.dataset as ds
+
+            there = ds.dataset(path, partitioning="hive").to_table(columns=["n", "item"], filter=ds.field("shard") == shard)
+            items = list(zip(there.column("n").to_pylist(), there.column("item").to_pylist()))
         _ready[name, rate] = Matcher(items, rate)
     return _ready[name, rate]
 
 
-def _broadcasts(spark: SparkSession, benchmark: DataFrame, most: int) -> list:
-    """Broadcast lists of (number, reduced text, ...) by shard. Each is collected by itself and within `most` bytes or one item."""
-    items = benchmark.select(F.col("item_id"), F.col("text"))
+def _reduce(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([reduce_text(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())], [*batch.schema.names[:-1], "item"])
+
+
+def _shards(benchmark: DataFrame, most: int) -> tuple[list, DataFrame]:
+    """Broadcasts of the shards, each within `most` bytes or one item, and the table of the items' numbers n and ids."""
+    rows = Rows(benchmark)
+    spark = rows.spark
+    items = rows.df.select(rows["item_id"].alias("item_id"), F.xxhash64(rows["text"]).alias("n"), rows["text"].alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-int(total) * 2 // most)) if total > most else 1
-    out = []
-    for s in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s)
-        rows = [(r.item_id, reduce_text(r.text)) for r in part.collect()]
-        rows = [(k, t) for k, t in rows if len(t) >= MIN_BYTES]
-        out.append((spark.sparkContext.broadcast((uuid.uuid4().hex, list(enumerate(t for _, t in rows)))), [k for k, _ in rows]))
-    return out
-
-
-def _found(held, names: list, rate: float):
-    @F.arrow_udf("array<struct<item_id: bigint, distance: int>>")
+    ids = items.where("text is not null").select("n", "item_id")
+    if total <= most:
+        texts = {r.n: reduce_text(r.text) for r in items.where("text is not null").select("n", "text").collect()}
+        return [spark.sparkContext.broadcast((uuid.uuid4().hex, [(n, t) for n, t in texts.items() if t], None, 0))], ids
+    shards = -(-int(total) * 2 // most)
+    folder = scratch(spark, "benchmark")
+    reduced = items.select("n", "text").mapInArrow(lean(_reduce), "n long, item binary").where("length(item) > 0").dropDuplicates(["n"])
+    reduced.withColumn("shard", F.pmod("n", F.lit(shards)).cast("int")).repartition("shard").write.partitionBy("shard").parquet(folder)
+    path = folder.removeprefix("file://") if folder.startswith("file://") else folder
+    return [spark.sparkContext.broadcast((uuid.uuid4().hex, [], path, s)) for s in range(shards)], ids
+
+
+def _found(held, rate: float) -> Column:
+    @F.arrow_udf("array<struct<n: bigint, distance: int>>")
     def found(text: pa.Array) -> pa.Array:
         matcher = _matcher(held, rate)
         out: list = [[] for _ in range(len(text))]
-        for at, data, offsets in text_slices(text, lower=True, limit=4 << 20):
+        for at, data, offsets in text_slices(text, lower=True, limit=1 << 21):
             for row, i, distance in matcher.search(data, offsets):
-                out[at + row].append({"item_id": names[i], "distance": distance})
-        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())])))
+                out[at + row].append({"n": i, "distance": distance})
+        trim()
+        return pa.array(out, pa.list_(pa.struct([("n", pa.int64()), ("distance", pa.int32())])))
 
     return found
 
 
-def _clean(held, rate: float):
+def _clean(held, rate: float) -> Column:
     @F.arrow_udf("boolean")
     def clean(text: pa.Array) -> pa.Array:
         matcher = _matcher(held, rate)
         ok = np.ones(len(text), dtype=bool)
-        for at, data, offsets in text_slices(text, lower=True, limit=4 << 20):
+        for at, data, offsets in text_slices(text, lower=True, limit=1 << 21):
             ok[[at + row for row, _, _ in matcher.search(data, offsets)]] = False
+        trim()
         return pa.array(ok)
 
     return clean
@@ -199,16 +225,20 @@ def _clean(held, rate: float):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of docs and item that it leaks: doc_id, item_id, distance."""
-    parts = [docs.select("doc_id", F.explode(_found(held, names, rate)(F.col("text"))).alias("x")).select("doc_id", "x.item_id", "x.distance") for held, names in _broadcasts(docs.sparkSession, benchmark, broadcast_bytes)]
-    return reduce(DataFrame.unionByName, parts)
+    rows = Rows(docs)
+    shards, ids = _shards(benchmark, broadcast_bytes)
+    parts = [rows.df.select(rows["doc_id"].alias("doc_id"), F.explode(_found(held, rate)(rows["text"])).alias("x")).select("doc_id", "x.n", "x.distance") for held in shards]
+    found = reduce(DataFrame.unionByName, parts)
+    return found.join(F.broadcast(ids) if len(shards) == 1 else ids, "n").select("doc_id", "item_id", "distance")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs that leak no item. Texts are not shuffled."""
-    out = docs
-    for held, _ in _broadcasts(docs.sparkSession, benchmark, broadcast_bytes):
-        out = out.where(_clean(held, rate)(F.col("text")))
-    return out
+    rows = Rows(docs)
+    out = rows.df
+    for held in _shards(benchmark, broadcast_bytes)[0]:
+        out = out.where(_clean(held, rate)(rows["text"]))
+    return rows.back(out)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

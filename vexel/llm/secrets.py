@@ -9,8 +9,8 @@ slice, like a segment of a search engine, so nothing is shuffled.
 
 Defined results: null and empty texts hold no secrets; matches of a rule are the leftmost,
 not overlapping, in order of place and numbered from 1; rules are independent, so one place
-can match several; repeated rows are reported each; a null id stays null.  Extra columns are
-ignored.
+can match several; repeated rows are reported each; a null id stays null, and ids keep their
+type.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from vexel.llm.common import read, text_slices
+from vexel.llm.common import Rows, form, lean, read, text_slices
 
 #: Written in the common part of Python's and RE2's syntax; letters and digits are ASCII ones. Values have no greatest length.
 #: (A url's scheme has one, which cuts no secret: a longer run of letters still matches from its last 21 on.)
@@ -40,16 +39,6 @@ RULES: dict[str, str] = {
     "long_hex": r"\b[0-9a-f]{32,}\b",
 }
 
-#: The rules of the SQL twin, which keeps greatest lengths: it misses or cuts longer values, and the operator does not.
-SQL_RULES: dict[str, str] = RULES | {
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,72}",
-    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,64}",
-    "json_web_token": r"\beyJ[0-9A-Za-z_-]{8,500}\.[0-9A-Za-z_-]{8,500}\.[0-9A-Za-z_-]{8,500}",
-    "assigned_secret": r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[0-9a-z_+/=.~-]{8,128}",
-    "url_password": r"[A-Za-z][0-9A-Za-z+.-]{1,20}://[0-9A-Za-z_.~%-]{1,64}:[0-9A-Za-z_.~%!$&*+-]{1,64}@",
-    "long_hex": r"\b[0-9a-f]{32,128}\b",
-}
-
 ALL = ("all",)
 _MOST = 48
 
@@ -220,7 +209,8 @@ def find_secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFr
                 ["doc_id", "rule", "n", "secret"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, rule string, n long, secret string")
+    rows = Rows(docs)
+    return rows.df.select(rows["doc_id"].alias("doc_id"), rows["text"].alias("text")).mapInArrow(lean(run), form(doc_id=rows.kind("doc_id"), rule="string", n="long", secret="string"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +220,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda p: p.replace("'", "''")
-    one = [f"SELECT doc_id, '{name}' AS rule, regexp_extract_all(text, '{quoted(p)}') AS l FROM documents" for name, p in SQL_RULES.items()]
+    one = [f"SELECT doc_id, '{name}' AS rule, regexp_extract_all(text, '{quoted(p)}') AS l FROM documents" for name, p in RULES.items()]
     return "SELECT doc_id, rule, CAST(n AS BIGINT) AS n, secret FROM (SELECT doc_id, rule, unnest(generate_series(1, len(l))) AS n, unnest(l) AS secret FROM (" + " UNION ALL ".join(one) + "))"
 
 

@@ -1,6 +1,7 @@
 """URL filters by a tree of path templates.
 
-The path of a URL, without query and fragment, runs down a tree of its host.  A segment that
+The path of a URL, without query and fragment, runs down a tree of its host, which is as deep
+as the deepest path in the table; its levels are worked through one after the other.  A segment that
 is a number, a date, a long hexadecimal string or a word with digits stands for its kind.  At
 a node with more than BRANCHES children, of which most lead to few pages, the children
 become one wildcard.  Then, from the leaves up, children whose labelled share of bad pages does not
@@ -13,10 +14,10 @@ good when quality is 1 and toxic is 0.  Levels are aggregated over distinct temp
 busy host is many partial sums and not one task.
 
 Defined results: a null or unparsable URL has the host '' and, with no path, the template
-'/'; paths deeper than LEVELS segments keep the rest as one segment '**'; a label that is
-null in quality or toxic counts as none, and of repeated labels of an id the worst counts; a template
+'/'; stars and braces in a path are written %2A, %7B and %7D, so that none is taken for a
+wildcard; ids keep their type; a label that is null in quality or toxic counts as none, and of repeated labels of an id the worst counts; a template
 without labels has the overall share; with no labels at all nothing is rejected and purity is
-null.  Repeated pages count each.  Extra columns are ignored.
+null; an empty table gives no rows.  Repeated pages count each.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm.common import cut, read
+from vexel.llm.common import Rows, cut, read
 
-LEVELS, BRANCHES, FEW, Z, WEIGHT, PURITY = 5, 20, 4.0, 1.96, 5.0, 0.6
+BRANCHES, FEW, Z, WEIGHT, PURITY = 20, 4.0, 1.96, 5.0, 0.6
+#: The SQL twin cannot loop: it is written out for paths of so many segments. The operator has no such bound.
+SQL_LEVELS = 8
 
 #: Kinds of variable segments, tried in this order; the expressions hold in Java and in RE2.
 KINDS = (
@@ -46,59 +49,72 @@ def _kind(seg: str, match: str) -> str:
     return "CASE " + " ".join(f"WHEN {match.format(s=seg, p=p)} THEN '{k}'" for k, p in KINDS) + f" ELSE {seg} END"
 
 
-def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, host, t1.. (segments of the lexical template, null below the leaf), lab and bad (0 or 1) of every page."""
-    parsed = pages.select(
-        F.col("page_id"),
-        F.coalesce(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit("")).alias("host"),
-        F.coalesce(F.regexp_extract("url", _PATH, 1), F.lit("")).alias("path"),
-    ).withColumn("seg", F.expr("filter(split(lower(path), '/'), x -> x <> '')"))
-    level = [F.expr(_kind(f"try_element_at(seg, {k})", "{s} rlike '{p}'").replace("\\.", "\\\\.")).alias(f"t{k}") for k in range(1, LEVELS + 1)]
-    deep = F.when(F.size("seg") > LEVELS, "**").alias(f"t{LEVELS + 1}")
-    typed = parsed.select("page_id", "host", F.expr("try_cast(regexp_extract(path, '" + _LAST + "', 1) as bigint)").alias("doc"), *level, deep)
-    # One row for each id; labels that are null in a part are none.
-    known = labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 0).otherwise(1)).alias("bad"))
-    return typed.join(known, "doc", "left").select("page_id", "host", *[f"t{k}" for k in range(1, LEVELS + 2)], F.col("bad").isNotNull().cast("long").alias("lab"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
+#: Marks of the templates, as they stand in paths and as they are written there.
+_MARKS = (("*", "%2a"), ("{", "%7b"), ("}", "%7d"))
 
 
-def _safe(a: str, b: str, names: list[str]):
-    return [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
+def _lower(path: str) -> str:
+    """SQL for a path in lower case, without marks."""
+    out = f"lower({path})"
+    for mark, plain in _MARKS:
+        out = f"replace({out}, '{mark}', '{plain}')"
+    return out
+
+
+def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, host, seg (segments of the lexical template), lab and bad (0 or 1) of every page."""
+    page, label = Rows(pages), Rows(labels)
+    url = page["url"]
+    parsed = page.df.select(
+        page["page_id"].alias("page_id"),
+        F.coalesce(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit("")).alias("host"),
+        F.coalesce(F.regexp_extract(url, _PATH, 1), F.lit("")).alias("path"),
+    )
+    kind = _kind("x", "{s} rlike '{p}'").replace("\\.", "\\\\.")
+    seg = F.expr(f"transform(filter(split({_lower('path')}, '/'), x -> x <> ''), x -> {kind})")
+    typed = parsed.select("page_id", "host", F.expr("try_cast(regexp_extract(path, '" + _LAST + "', 1) as bigint)").alias("doc"), seg.alias("seg"))
+    # One row for each id; labels that are null in a part are none.
+    known = label.df.select(label["doc_id"].cast("long").alias("doc"), label["quality"].alias("quality"), label["toxic"].alias("toxic"))
+    known = known.where("quality is not null and toxic is not null and doc is not null").groupBy("doc").agg(F.max(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 0).otherwise(1)).alias("bad"))
+    return typed.join(known, "doc", "left").select("page_id", "host", "seg", F.col("bad").isNotNull().cast("long").alias("lab"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
 
 
 def generalise(table: DataFrame) -> DataFrame:
-    """Of distinct lexical templates (host, t1.., n, lab, bad): with g1.., the generalised segments."""
-    t = [f"t{k}" for k in range(1, LEVELS + 2)]
-    out = table.select("host", *t, *[F.col(x).alias("g" + x[1:]) for x in t], "n", "lab", "bad")
-    for k in range(1, LEVELS + 1):
-        node = ["host", *[f"g{i}" for i in range(1, k)]]
-        wide = out.where(f"g{k} is not null").groupBy(*node).agg(F.countDistinct(f"g{k}").alias("kids"), F.sum("n").alias("all")).where((F.col("kids") > BRANCHES) & (F.col("all") < FEW * F.col("kids"))).select(*node, F.lit(True).alias("wide"))
-        out = out.alias("a").join(wide.alias("b"), _safe("a", "b", node), "left").select(*[f"a.{c}" for c in ["host", *t]], *[(F.expr(f"case when b.wide and a.g{i} is not null then '*' else a.g{i} end") if i == k else F.col(f"a.g{i}")).alias(f"g{i}") for i in range(1, LEVELS + 2)], "a.n", "a.lab", "a.bad")
-        if k % 3 == 0:
-            out = cut(out)
-    for k in range(LEVELS, 0, -1):
-        node = ["host", *[f"g{i}" for i in range(1, k)]]
-        kids = out.where(f"g{k} is not null").groupBy(*node, f"g{k}").agg(F.sum("lab").alias("cl"), F.sum("bad").alias("cb"))
-        top = kids.groupBy(*node).agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"), F.count("*").alias("kids")).where("kids > 1")
+    """Of distinct lexical templates (host, seg, n, lab, bad): with path, the generalised segments. A level is two joins on the nodes above it; paths that end higher up pass by."""
+    deepest = table.agg(F.max(F.size("seg"))).first()[0] or 0
+    out = table.withColumn("path", F.col("seg"))
+    columns = ["host", "seg", "n", "lab", "bad", "path"]
+
+    def replaced(k: int, marked: DataFrame, keys: int) -> DataFrame:
+        """out, with a star at level k of paths whose first `keys` segments are marked."""
+        short = out.where(F.size("path") < k)
+        here = out.where(F.size("path") >= k).withColumn("node", F.slice("path", 1, keys)).join(marked.withColumn("hit", F.lit(True)), ["host", "node"], "left")
+        star = F.when(F.col("hit"), F.expr(f"transform(path, (x, i) -> if(i = {k - 1}, '*', x))")).otherwise(F.col("path"))
+        new = short.select(columns).union(here.withColumn("path", star).select(columns))
+        return cut(new) if k % 2 == 0 else new
+
+    for k in range(1, deepest + 1):
+        below = out.where(F.size("path") >= k).withColumn("node", F.slice("path", 1, k - 1))
+        wide = below.groupBy("host", "node").agg(F.countDistinct(F.col("path")[k - 1]).alias("kids"), F.sum("n").alias("all")).where((F.col("kids") > BRANCHES) & (F.col("all") < FEW * F.col("kids")))
+        out = replaced(k, wide.select("host", "node"), k - 1)
+    for k in range(deepest, 0, -1):
+        below = out.where(F.size("path") >= k).select("host", F.slice("path", 1, k - 1).alias("up"), F.slice("path", 1, k).alias("node"), "lab", "bad")
+        kids = below.groupBy("host", "up", "node").agg(F.sum("lab").alias("cl"), F.sum("bad").alias("cb"))
+        top = kids.groupBy("host", "up").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"), F.count("*").alias("kids")).where("kids > 1")
         share = "(cast(pb as double) / pl)"
         differs = f"cl > 0 and pb > 0 and pb < pl and abs(cast(cb as double) / cl - {share}) > {Z}D * sqrt({share} * (1D - {share}) / cl)"
-        merged = kids.alias("a").join(top.alias("b"), _safe("a", "b", node)).where(f"not ({differs})").select(*[f"a.{c}" for c in [*node, f"g{k}"]], F.lit(True).alias("same"))
-        out = out.alias("a").join(merged.alias("b"), _safe("a", "b", [*node, f"g{k}"]), "left").select(*[f"a.{c}" for c in ["host", *t]], *[(F.expr(f"case when b.same then '*' else a.g{i} end") if i == k else F.col(f"a.g{i}")).alias(f"g{i}") for i in range(1, LEVELS + 2)], "a.n", "a.lab", "a.bad")
-        if k % 3 == 0:
-            out = cut(out)
+        out = replaced(k, kids.join(top, ["host", "up"]).where(f"not ({differs})").select("host", "node"), k)
     return out
 
 
 def judge(pages: DataFrame, labels: DataFrame, weight: float = WEIGHT, purity: float = PURITY) -> DataFrame:
     """page_id, host, template, purity (4 decimals), rejected of every page."""
-    t, g = [f"t{k}" for k in range(1, LEVELS + 2)], [f"g{k}" for k in range(1, LEVELS + 2)]
     each = cut(templates(pages, labels))
-    table = each.groupBy("host", *t).agg(F.count("*").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-    tree = cut(generalise(table))
+    tree = cut(generalise(each.groupBy("host", "seg").agg(F.count("*").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))))
     good = tree.agg(F.try_divide(F.sum(F.col("lab") - F.col("bad")), F.sum("lab")).alias("good"))
-    path = F.concat(F.lit("/"), F.concat_ws("/", *g))
-    pure = tree.groupBy("host", *g).agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).crossJoin(good).select("host", *g, path.alias("template"), F.expr(f"try_divide(cast(lab - bad as double) + {weight}D * good, cast(lab as double) + {weight}D)").alias("p"))
-    leaf = tree.alias("a").join(pure.alias("b"), _safe("a", "b", ["host", *g])).select("a.host", *[f"a.{c}" for c in t], "template", "p")
-    return each.alias("a").join(leaf.alias("b"), _safe("a", "b", ["host", *t])).select("page_id", "a.host", "template", F.round("p", 4).alias("purity"), F.coalesce(F.col("p") < purity, F.lit(False)).alias("rejected"))
+    pure = tree.groupBy("host", "path").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(good)).select("host", "path", F.expr(f"try_divide(cast(lab - bad as double) + {weight}D * good, cast(lab as double) + {weight}D)").alias("p"))
+    leaf = tree.select("host", "seg", "path").join(pure, ["host", "path"])
+    return each.join(leaf, ["host", "seg"]).select("page_id", "host", F.concat(F.lit("/"), F.array_join("path", "/")).alias("template"), F.round("p", 4).alias("purity"), F.coalesce(F.col("p") < purity, F.lit(False)).alias("rejected"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,24 +123,24 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    t, g = [f"t{k}" for k in range(1, LEVELS + 2)], [f"g{k}" for k in range(1, LEVELS + 2)]
+    t, g = [f"t{k}" for k in range(1, SQL_LEVELS + 2)], [f"g{k}" for k in range(1, SQL_LEVELS + 2)]
     same = lambda a, b, names: " AND ".join(f"{a}.{n} IS NOT DISTINCT FROM {b}.{n}" for n in names)
     ctes = [
         f"u AS (SELECT page_id, coalesce(lower(regexp_extract(url, '{_HOST}', 1)), '') AS host, coalesce(regexp_extract(url, '{_PATH}', 1), '') AS path FROM pages)",
-        "s AS (SELECT *, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS seg FROM u)",
+        "s AS (SELECT *, list_filter(string_split(" + _lower("path") + ", '/'), lambda x: x <> '') AS seg FROM u)",
         "k AS (SELECT doc_id AS doc, max(CASE WHEN quality = 1 AND toxic = 0 THEN 0 ELSE 1 END) AS bad FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1)",
-        "v AS (SELECT page_id, host, try_cast(regexp_extract(path, '" + _LAST + "', 1) AS BIGINT) AS doc, " + ", ".join(_kind(f"seg[{i}]", "regexp_matches({s}, '{p}')") + f" AS t{i}" for i in range(1, LEVELS + 1)) + f", CASE WHEN len(seg) > {LEVELS} THEN '**' END AS t{LEVELS + 1} FROM s)",
+        "v AS (SELECT page_id, host, try_cast(regexp_extract(path, '" + _LAST + "', 1) AS BIGINT) AS doc, " + ", ".join(_kind(f"seg[{i}]", "regexp_matches({s}, '{p}')") + f" AS t{i}" for i in range(1, SQL_LEVELS + 1)) + f", CASE WHEN len(seg) > {SQL_LEVELS} THEN '**' END AS t{SQL_LEVELS + 1} FROM s)",
         f"e AS (SELECT page_id, host, {', '.join(t)}, CASE WHEN bad IS NULL THEN 0 ELSE 1 END AS lab, coalesce(bad, 0) AS bad FROM v LEFT JOIN k USING (doc))",
         f"x0 AS (SELECT host, {', '.join(t)}, {', '.join(f'{a} AS {b}' for a, b in zip(t, g))}, count(*) AS n, sum(lab) AS lab, sum(bad) AS bad FROM e GROUP BY ALL)",
     ]
     last, number = "x0", 0
-    for k in range(1, LEVELS + 1):
+    for k in range(1, SQL_LEVELS + 1):
         node = ["host", *g[: k - 1]]
         number += 1
         ctes.append(f"n{number} AS (SELECT {', '.join(node)} FROM {last} WHERE g{k} IS NOT NULL GROUP BY ALL HAVING count(DISTINCT g{k}) > {BRANCHES} AND sum(n) < {FEW} * count(DISTINCT g{k}))")
         ctes.append(f"x{number} AS (SELECT a.* REPLACE (CASE WHEN b.host IS NOT NULL AND a.g{k} IS NOT NULL THEN '*' ELSE a.g{k} END AS g{k}) FROM {last} a LEFT JOIN n{number} b ON {same('a', 'b', node)})")
         last = f"x{number}"
-    for k in range(LEVELS, 0, -1):
+    for k in range(SQL_LEVELS, 0, -1):
         node = ["host", *g[: k - 1]]
         number += 1
         ctes.append(f"c{number} AS (SELECT {', '.join([*node, f'g{k}'])}, sum(lab) AS cl, sum(bad) AS cb FROM {last} WHERE g{k} IS NOT NULL GROUP BY ALL)")
