@@ -2,15 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs.
+
+Defined results: texts that are null, empty or without words are rejected by the quality rules, as is
+what each stage's own module says; repeated rows and rows of equal id and text count as copies,
+of which one stays; null ids are kept like others; very long texts are worked through whole;
+ties fall as each stage's module says; an empty table gives no windows.  Extra columns, whatever their
+names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm.common import read, shared_dir
+from vexel.llm.common import read, scratch
 from vexel.llm.decontaminate import decontaminate_stage
 from vexel.llm.line_dedup import line_dedup_stage
 from vexel.llm.near_dedup import near_dedup_stage
@@ -25,14 +29,14 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the estimates nor the clusters nor the edit distances; the tests hold run() against brute force.
+#: SQL can express neither the estimates nor the clusters nor the edit distances; the tests hold each stage against brute force on what the stage before kept.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of the documents that pass all stages."""
     docs = read(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
