@@ -196,7 +196,7 @@ class Counter:
 
     def column(self, text: pa.Array) -> np.ndarray:
         """The number of tokens of each text."""
-        parts = [self.slice_counts(data, offsets) for _, data, offsets in text_slices(text, limit=1 << 21)]
+        parts = [self.slice_counts(data, offsets) for _, data, offsets in text_slices(text)]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
