@@ -462,6 +462,8 @@ def test_substring_dedup_partner_by_partner(spark, anchors):
     a, b, c = some(50), some(50), some(120)
     texts = [a + b, some(9) + a + some(3), some(4) + b, c, some(5) + c[:80] + some(2), c[40:] + some(6), some(1) + c[10:70] + some(1), some(30) + c[20:69] + some(9)]
     texts += [some(int(rng.integers(0, 3))) + c[30:90] + ["the"] * int(rng.integers(0, 2)) + some(3) for _ in range(30)]
+    line, other = some(55), some(12)
+    texts += [some(3) + line * 6 + some(4), some(1) + line + some(2), line[:54] + some(5), some(2) + other * 9, other * 14 + some(1), some(5) + other * 6 + some(2) + other * 5]
     whole = some(300)
     for _ in range(25):
         copy = list(whole)

@@ -17,6 +17,10 @@ run of LEAST words or more is matched by its length with the longest of another
 A repeat is reported unless a longer one of the same document holds it; a repeat is one match
 with one partner, and matches with different partners are not joined.
 
+Where the partner holds a seed more than once, as in repeated lines, one place is taken by a hash,
+so that each round halves, by chance, the repetitions that are left; and the seed's texts meet the
+first text after the partner as well.
+
 Only the neighbourhoods of shared anchors leave the text's place.  Texts that are equal are
 one text; each of their documents is a repeat from end to end.
 
@@ -267,8 +271,12 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, broadcast_anc
     matches = None
     second = False
     while True:
-        first = elements.groupBy("h").agg(F.min(F.struct("k", "g", "x")).alias("r"), F.max("k").alias("most")).where("r.k <> most").select("h", "r")
-        meet = elements.join(first, "h").where("g <> r.g or x <> r.x").select("g", F.col("r.g").alias("rg"), F.struct("x", "y", (F.col("r.x") - F.col("x")).alias("d")).alias("seed"))
+        first = elements.groupBy("h").agg(F.min(F.struct("k", F.xxhash64("g", "x").alias("o"), "g", "x")).alias("r"), F.max("k").alias("most")).where("r.k <> most").select("h", "r")
+        near = elements.join(first, "h")
+        # Where the partner's text holds the seed more than once, all meet the first other text too, so that each of its places is matched with another text.
+        again = near.groupBy("h").agg(F.count_if(F.col("k") == F.col("r.k")).alias("own"), F.min(F.when(F.col("k") != F.col("r.k"), F.struct("k", F.xxhash64("g", "x").alias("o"), "g", "x"))).alias("r2")).where("own > 1").select("h", "r2")
+        both = near.select("g", "x", "y", "r").union(near.drop("r").join(again, "h").select("g", "x", "y", "r2"))
+        meet = both.where("g <> r.g or x <> r.x").select("g", F.col("r.g").alias("rg"), F.struct("x", "y", (F.col("r.x") - F.col("x")).alias("d")).alias("seed"))
         pairs = cut(meet.groupBy("g", "rg").agg(F.collect_set("seed").alias("seeds")))
         if not pairs.count():
             break
