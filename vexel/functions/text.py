@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: What separates tokens: anything but letters, numbers and the underscore.
 SEPARATOR = r"[^\p{L}\p{N}_]+"
-SUSPECT = ("'", '"', ";", "--", "/*", "*/", "xp_", "union", "select", "insert", "update", "delete", "drop", "create", "alter", "exec", "script", "or 1=1", "and 1=1", "0x", "char(", "nchar(", "waitfor", "cast(", "convert(")
+#: Parts of SQL, of script and of templates, in alphabetical order.
+SUSPECT = tuple(sorted("'; -- /* */ xp_ sp_ exec execute union select insert update delete drop create alter truncate javascript: onerror= onload= <script </script> ${ #{ {{".split()))
 
 
 def tokens(text: Column) -> Column:

@@ -33,7 +33,7 @@ def weighted_sum(hits: DataFrame) -> DataFrame:
 def _scaled(hits: DataFrame, by: list[str], flat: Column) -> DataFrame:
     """hits with `scaled`, the score between the least (0) and the greatest (1) of its group; `flat` where they are equal. The bounds are aggregated and joined, so that one large group is no single task."""
     bounds = hits.groupBy(*by).agg(F.min("score").alias("__low"), F.max("score").alias("__high"))
-    joined = hits.join(F.broadcast(bounds), by) if by else hits.crossJoin(F.broadcast(bounds))
+    joined = hits.join(bounds, by) if by else hits.crossJoin(F.broadcast(bounds))
     spread = F.col("__high") - F.col("__low")
     return joined.withColumn("scaled", F.when(spread < EPSILON, flat).otherwise((F.col("score") - F.col("__low")) / spread)).drop("__low", "__high")
 

@@ -14,9 +14,17 @@ def effective_permissions(users: DataFrame, grants: DataFrame, parents: DataFram
     return roles.join(grants, "role").groupBy("user", "permission").agg((F.bool_or(F.col("effect") == "allow") & ~F.bool_or(F.col("effect") == "deny")).alias("allowed"))
 
 
-def match_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """requests (request_id, subject, resource, action) with allowed: by the first policy (priority, subject, resource, action, effect) that fits, '*' fitting all; false if none does. Policies are joined once for each pattern of wildcards, by equality."""
+def match_policies(requests: DataFrame, policies: DataFrame, few: int = 1000) -> DataFrame:
+    """requests (request_id, subject, resource, action) with allowed: by the first policy (priority, subject, resource, action, effect) that fits, '*' fitting all; false if none does.
+
+    Up to `few` policies are one array that each request looks through in its row; more of them are joined once for each pattern of wildcards, by equality.
+    """
     keys = ["subject", "resource", "action"]
+    if policies.count() <= few:
+        ordered = policies.agg(F.array_sort(F.collect_list(F.struct("priority", "effect", *keys))).alias("__p"))
+        fits = lambda p: (p["subject"].isin("*") | (p["subject"] == F.col("subject"))) & (p["resource"].isin("*") | (p["resource"] == F.col("resource"))) & (p["action"].isin("*") | (p["action"] == F.col("action")))
+        first = F.try_element_at(F.filter("__p", fits), F.lit(1))
+        return requests.crossJoin(F.broadcast(ordered)).select(*requests.columns, F.coalesce(first["effect"] == "allow", F.lit(False)).alias("allowed"))
     parts = None
     for mask in range(8):
         fixed = [k for i, k in enumerate(keys) if mask >> i & 1]
@@ -77,12 +85,53 @@ def counters(samples: DataFrame) -> DataFrame:
 def alerts(gauges: DataFrame, rules: DataFrame) -> DataFrame:
     """name, value, rule of the rules (rule, name, kind, threshold) that gauges (name, value) set off."""
     fires = F.when(F.col("kind") == "above", F.col("value") > F.col("threshold")).when(F.col("kind") == "below", F.col("value") < F.col("threshold")).otherwise(F.abs(F.col("value") - F.col("threshold")) < 0.001)
-    return gauges.join(F.broadcast(rules), "name").where(fires).select("name", "value", "rule")
+    return gauges.join(rules, "name").where(fires).select("name", "value", "rule")
+
+
+def rate_alerts(samples: DataFrame, seconds: int, most: float, by: list[str], ts: str = "ts") -> DataFrame:
+    """by, bucket (start, in microseconds) and rate (per second) of the spans of time in which a key has more than `most` samples a second."""
+    start = F.expr(f"({ts} div {seconds * 1_000_000}L) * {seconds * 1_000_000}L").alias("bucket")
+    return samples.groupBy(*by, start).agg(F.round(F.count("*") / seconds, 6).alias("rate")).where(F.col("rate") > most)
 
 
 def exposition(metrics: DataFrame) -> DataFrame:
-    """One line of text, 'name value', for each metric."""
-    return metrics.select(F.format_string("%s %s", F.col("name"), F.col("value").cast("string")).alias("line"))
+    """One line of text, name{labels} value, for each metric (name, labels as a map or none, value)."""
+    pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
+    labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), pairs(F.col("labels")), F.lit("}"))).otherwise("") if "labels" in metrics.columns else F.lit("")
+    return metrics.select(F.concat(F.col("name"), labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def decision_statistics(decisions: DataFrame, least: float = 0.7) -> DataFrame:
+    """One row on decisions (action, confidence): n, mean, least, greatest, the share at or above `least`, and the number of actions."""
+    c = F.col("confidence")
+    return decisions.agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("least"), F.max(c).alias("greatest"), F.round(F.avg((c >= least).cast("int")), 6).alias("sure"), F.count_distinct("action").alias("actions"))
+
+
+def decision_history(decisions: DataFrame, n: int, order: str, wanted: dict) -> DataFrame:
+    """Of the last n decisions, those with the values wanted."""
+    last = decisions.orderBy(F.desc(order)).limit(n)
+    for name, value in wanted.items():
+        last = last.where(F.col(name) == value)
+    return last
+
+
+def audit(events: DataFrame, limit: int, order: str, user: str | None = None, action: str | None = None, failed: bool | None = None) -> DataFrame:
+    """The newest audit events (user, action, success), of a user, an action or an outcome."""
+    for name, value in (("user", user), ("action", action), ("success", None if failed is None else not failed)):
+        if value is not None:
+            events = events.where(F.col(name) == value)
+    return events.orderBy(F.desc(order)).limit(limit)
+
+
+def status_counts(nodes: DataFrame) -> DataFrame:
+    """One row: nodes in all and by status."""
+    return nodes.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("healthy", "degraded", "unhealthy", "offline")])
+
+
+def span_durations(spans: DataFrame) -> DataFrame:
+    """name, n, mean and greatest duration of spans (name, start, end); open ones are left out."""
+    d = F.col("end") - F.col("start")
+    return spans.where("end is not null").groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean"), F.max(d).alias("greatest"))
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:

@@ -45,22 +45,21 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return known
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, weight, path: least total weight (none negative) from each start to each node that it reaches; of equal paths the first as text.
 
-    Rounds of relaxation over the nodes whose weight fell in the round before; each is written to the shared folder.
+    Rounds of relaxation over the nodes whose weight fell in the round before: a round is one join and one
+    aggregation, written to the shared folder.  It ends when no weight falls.
     """
     steps = checkpoint(edges.groupBy(F.col("src").alias("node"), F.col("dst").alias("next")).agg(F.min("weight").cast("double").alias("w")))
-    known = front = checkpoint(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0.0).alias("weight"), F.col("id").cast("string").alias("path")))
-    for _ in range(most):
-        moves = front.join(steps, "node").select("start", F.col("next").alias("node"), (F.col("weight") + F.col("w")).alias("weight"), F.concat("path", F.lit(">"), F.col("next").cast("string")).alias("path"))
-        best = moves.groupBy("start", "node").agg(F.min(F.struct("weight", "path")).alias("m")).select("start", "node", "m.weight", "m.path")
-        held = known.select("start", "node", F.col("weight").alias("w0"), F.col("path").alias("p0"))
-        front = checkpoint(best.join(held, ["start", "node"], "left").where("w0 is null or weight < w0 or (weight = w0 and path < p0)").select("start", "node", "weight", "path"))
-        if front.isEmpty():
-            return known
-        known = checkpoint(known.join(front.select("start", "node"), ["start", "node"], "left_anti").unionByName(front))
-    raise RuntimeError(f"no fixed point after {most} rounds")
+    known = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.struct(F.lit(0.0).alias("weight"), F.col("id").cast("string").alias("path")).alias("best"), F.lit(True).alias("fell"))
+    while True:
+        moved = known.where("fell").join(steps, "node").select("start", F.col("next").alias("node"), F.struct((F.col("best.weight") + F.col("w")).alias("weight"), F.concat("best.path", F.lit(">"), F.col("next").cast("string")).alias("path")).alias("best"), F.lit(False).alias("old"))
+        every = known.select("start", "node", "best", F.lit(True).alias("old")).union(moved)
+        known = every.groupBy("start", "node").agg(F.min("best").alias("best"), F.min(F.when(F.col("old"), F.col("best"))).alias("was")).select("start", "node", "best", (F.col("was").isNull() | (F.col("best") < F.col("was"))).alias("fell"))
+        known = checkpoint(known)
+        if known.where("fell").isEmpty():
+            return known.select("start", "node", "best.weight", "best.path")
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

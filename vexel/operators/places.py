@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.functions import geo as G
 
-_LAT, _LON = F.col, F.col
-
 
 def within_box(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     return points.where(G.in_box(F.col("lat"), F.col("lon"), box))
 
 
 def within_radius(points: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
-    """points with `km`, no farther than that. The enclosing box comes first: a plain range that a scan can push down."""
-    near = within_box(points, G.radius_box(lat, lon, km))
+    """points with `km`, no farther than that. The enclosing box comes first: plain ranges that a scan can push down, on both sides of the date line where the circle crosses it."""
+    south, north, west, east = G.radius_box(lat, lon, km)
+    ranges = [(west, east), *([(west + 360, 180.0)] if west < -180 else []), *([(-180.0, east - 360)] if east > 180 else [])]
+    near = points.where(F.col("lat").between(south, north) & reduce(lambda a, b: a | b, [F.col("lon").between(w, e) for w, e in ranges]))
     return near.withColumn("km", F.round(G.haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")), 4)).where(F.col("km") <= km)
 
 
@@ -47,16 +48,18 @@ def polygon_join(points: DataFrame, polygons: DataFrame, degrees: float = 10.0)
 
 
 def radius_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs (left_id, right_id, km) no farther apart than km, within one hemisphere's longitudes: right points are copied to the cells around theirs, rows of cells by latitude band so that cells stay wide enough toward the poles."""
+    """Pairs (left_id, right_id, km) no farther apart than km: right points are copied to the cells around theirs, on both sides of the date line, rows of cells by latitude band so that cells stay wide enough toward the poles."""
     step = km / G.DEGREE_KM
     band = lambda lat: F.floor(lat / step)
     # In a band the longitudes that km reaches are widest at the band's end nearest to a pole.
     reach = lambda b: F.least(F.lit(360.0), F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b * step), F.abs((b + 1) * step)) + step))), F.lit(1e-6)))
     a = left.select(F.col("id").alias("left_id"), F.col("lat").alias("la"), F.col("lon").alias("lo")).withColumn("__y", band(F.col("la"))).withColumn("__x", F.floor(F.col("lo") / reach(F.col("__y"))))
     b = right.select(F.col("id").alias("right_id"), F.col("lat").alias("rb"), F.col("lon").alias("ro")).withColumn("__y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band(F.col("rb")) + d)))
+    # A point within reach of the date line stands at its other longitude too.
+    b = b.withColumn("__r", reach(F.col("__y"))).withColumn("__s", F.explode(F.filter(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda s: F.abs(F.col("ro") + s) <= 180 + F.col("__r")))).withColumn("ro", F.col("ro") + F.col("__s"))
     b = b.withColumn("__x", F.explode(F.sequence(F.floor((F.col("ro") - reach(F.col("__y"))) / reach(F.col("__y"))), F.floor((F.col("ro") + reach(F.col("__y"))) / reach(F.col("__y"))))))
     pairs = a.join(b, ["__y", "__x"]).withColumn("km", F.round(G.haversine(F.col("la"), F.col("lo"), F.col("rb"), F.col("ro")), 4))
-    return pairs.where(F.col("km") <= km).select("left_id", "right_id", "km")
+    return pairs.where(F.col("km") <= km).select("left_id", "right_id", "km").distinct()
 
 
 assert math.isclose(G.EARTH_KM, 6371.0)

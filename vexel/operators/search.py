@@ -22,8 +22,8 @@ def _literal(query: Sequence[float]) -> Column:
 
 
 def with_distance(items: DataFrame, query: Sequence[float], metric: str = "cosine", vector: str = "embedding") -> DataFrame:
-    """items with a column `distance`. The query is a literal, so the scan stays one stage."""
-    return items.withColumn("distance", F.round(V.metric(metric)(checked(F.col(vector), len(query)), _literal(query)), 6) + 0.0)
+    """items that have a vector, with a column `distance`. The query is a literal, so the scan stays one stage."""
+    return items.where(F.col(vector).isNotNull()).withColumn("distance", F.round(V.metric(metric)(checked(F.col(vector), len(query)), _literal(query)), 6) + 0.0)
 
 
 def knn(items: DataFrame, query: Sequence[float], k: int = 10, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding", where: Column | None = None, filter_mode: str = "pre", overfetch: int = 2) -> DataFrame:
@@ -52,43 +52,72 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return -inner
     if metric == "cosine":
         size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-        return 1 - np.divide(inner, size, out=np.zeros_like(inner), where=size > 0)
+        return np.where(size == 0, 1.0, 1 - np.divide(inner, size, out=np.zeros_like(inner), where=size != 0))
     return np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * inner, 0))
 
 
+def _blocked(df: DataFrame, key: str, vector: str, names: tuple[str, str], block: int, by: list[str]) -> DataFrame:
+    """Rows of (key, vector) in lists of about `block` structs (i, v), within groups of `by`; rows without a vector are left out."""
+    rows = df.where(F.col(vector).isNotNull()).select(*by, F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("__n")) if by else None
+    number = F.pmod(F.xxhash64("i"), F.col("__n") if by else F.lit(max(1, -(-rows.count() // block)))).alias(names[0])
+    put = rows.join(sizes, by) if by else rows
+    return put.select(*by, number, "i", "v").groupBy(*by, names[0]).agg(F.collect_list(F.struct("i", "v")).alias(names[1]))
+
+
+def _best(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, metric: str, query_id: str, id: str) -> DataFrame:
+    """Of pairs of blocks (q, x): query_id, id, distance, rank of the k nearest."""
+    kind_q, kind_i = queries.schema[query_id].dataType.simpleString(), items.schema[id].dataType.simpleString()
+
+    def run(frames):
+        for frame in frames:
+            for q, x in zip(frame["q"], frame["x"]):
+                a, b = [np.array([r["v"] for r in s], dtype=float) for s in (q, x)]
+                if a.ndim < 2 or b.ndim < 2 or a.shape[1] != b.shape[1]:
+                    raise ValueError(f"vectors of {sorted({len(r['v']) for r in (*q, *x)})} dimensions cannot be compared")
+                d = np.round(_distances(a, b, metric), 6) + 0.0
+                take = min(k, d.shape[1])
+                # NaN is farther than all numbers. All that tie with the k-th go on, so that ties by id are decided in the end.
+                far = np.where(np.isnan(d), np.inf, d)
+                limit = np.partition(far, take - 1, axis=1)[:, take - 1]
+                row, col = np.nonzero(far <= limit[:, None])
+                yield pd.DataFrame({"query_id": np.array([r["i"] for r in q], dtype=object)[row], "id": np.array([r["i"] for r in x], dtype=object)[col], "distance": d[row, col]})
+
+    # On its way through pandas NaN becomes null.
+    found = pairs.mapInPandas(run, f"query_id {kind_q}, id {kind_i}, distance double").withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.isnan("distance"), "distance", "id")).cast("long")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").alias(query_id), F.col("id").alias(id), "distance", "rank")
+
+
 def batch_knn(queries: DataFrame, items: DataFrame, k: int = 10, metric: str = "cosine", query_id: str = "query_id", id: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """query_id, id, distance, rank: the k nearest items of every query, exactly.
 
     Both sides are cut into blocks of about `block` rows; every pair of blocks is one matrix
     product in an Arrow batch, of which only k candidates a query leave the task.  A block pair
-    needs block * dim numbers twice, whatever the tables' sizes; nothing is broadcast.
+    needs block * dim numbers twice, whatever the tables' sizes; nothing is broadcast.  The work is
+    the product of the sides; batch_probe is for large ones.  Null vectors are no neighbours and, as
+    queries, have none; a distance that is NaN comes last; vectors of different lengths raise.
     """
     V.metric(metric)
+    q = _blocked(queries, query_id, vector, ("bq", "q"), block, [])
+    x = _blocked(items, id, vector, ("bx", "x"), block, [])
+    parallel = max(1, items.sparkSession.sparkContext.defaultParallelism)
+    return _best(q.crossJoin(x).repartition(parallel, "bq", "bx").select("q", "x"), queries, items, k, metric, query_id, id)
 
-    def blocks(df: DataFrame, key: str, names: tuple[str, str, str]) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        put = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(names[0]), F.col(key).alias("i"), F.col(vector).alias("v"))
-        return put.groupBy(names[0]).agg(F.collect_list("i").alias(names[1]), F.collect_list("v").alias(names[2]))
 
-    kind_q, kind_i = queries.schema[query_id].dataType.simpleString(), items.schema[id].dataType.simpleString()
-    pairs = blocks(queries, query_id, ("bq", "qi", "qv")).crossJoin(blocks(items, id, ("bi", "ii", "iv")))
-    parallel = max(1, items.sparkSession.sparkContext.defaultParallelism)
+def batch_probe(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray, k: int = 10, nprobe: int = 4, metric: str = "cosine", query_id: str = "query_id", id: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """As batch_knn, among the items (with `cluster`, from assign) of each query's nprobe nearest clusters: an equi-join of blocks by cluster, and all clusters make it exact."""
+    V.metric(metric)
 
-    def search(frames):
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                q, x = np.stack(r.qv).astype(float), np.stack(r.iv).astype(float)
-                d = np.round(_distances(q, x, metric), 6) + 0.0
-                ids = np.asarray(r.ii)
-                take = min(k, len(ids))
-                # All that tie with the k-th go on, so that ties by id are decided in the end.
-                limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-                row, col = np.nonzero(d <= limit[:, None])
-                yield pd.DataFrame({"query_id": np.asarray(r.qi)[row], "id": ids[col], "distance": d[row, col]})
-
-    found = pairs.repartition(parallel, "bq", "bi").select("qi", "qv", "ii", "iv").mapInPandas(search, f"query_id {kind_q}, id {kind_i}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").alias(query_id), F.col("id").alias(id), "distance", "rank")
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        d = _distances(np.stack(v).astype(float), centroids, "euclidean") if len(v) else np.zeros((0, len(centroids)))
+        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype("int32")))
+
+    spread = queries.where(F.col(vector).isNotNull()).select(query_id, vector, F.explode(near(F.col(vector))).alias("cluster"))
+    q = _blocked(spread, query_id, vector, ("bq", "q"), block, ["cluster"])
+    x = _blocked(assigned, id, vector, ("bx", "x"), block, ["cluster"])
+    return _best(q.join(x, "cluster").select("q", "x"), queries, assigned, k, metric, query_id, id)
 
 
 def train_centroids(items: DataFrame, n: int, rounds: int = 20, id: str = "vec_id", vector: str = "embedding") -> np.ndarray:
@@ -127,7 +156,7 @@ def assign(items: DataFrame, centroids: np.ndarray, vector: str = "embedding") -
     def nearest(v: pd.Series) -> pd.Series:
         return pd.Series(_distances(np.stack(v).astype(float), centroids, "euclidean").argmin(axis=1) if len(v) else [], dtype="int32")
 
-    return items.withColumn("cluster", nearest(F.col(vector)))
+    return items.where(F.col(vector).isNotNull()).withColumn("cluster", nearest(F.col(vector)))
 
 
 def probe(assigned: DataFrame, centroids: np.ndarray, query: Sequence[float], k: int, nprobe: int, metric: str = "cosine", id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -137,17 +166,46 @@ def probe(assigned: DataFrame, centroids: np.ndarray, query: Sequence[float], k:
 
 
 class ProductQuantizer:
-    """m sub-vectors, each by its nearest of up to 256 centroids."""
+    """m sub-vectors, each by its nearest of up to 256 centroids. What is left over by the division stays out of the codes."""
 
     def __init__(self, m: int = 8, size: int = 256, rounds: int = 20):
         self.m, self.size, self.rounds, self.books = m, size, rounds, []
 
-    def _parts(self, items: DataFrame, vector: str) -> list[Column]:
-        self.width = len(items.select(vector).first()[0]) // self.m
-        return [F.slice(F.col(vector), i * self.width + 1, self.width) for i in range(self.m)]
-
     def train(self, items: DataFrame, id: str = "vec_id", vector: str = "embedding") -> ProductQuantizer:
-        self.books = [train_centroids(items.select(id, part.alias("part")), self.size, self.rounds, id, "part") for part in self._parts(items, vector)]
+        """Lloyd's rounds for all parts at once: a round is one pass over items and one aggregation of m * size partial sums."""
+        first = [np.array(r.v, dtype=float) for r in items.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.xxhash64(id).alias("h"), id).orderBy("h", id).limit(self.size).collect()]
+        if not first:
+            self.books, self.width = [], 0
+            return self
+        self.width = len(first[0]) // self.m
+        books = [np.array([v[i * self.width : (i + 1) * self.width] for v in first]) for i in range(self.m)]
+        width = self.width
+        vectors = items.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
+        for _ in range(self.rounds):
+            now = books
+
+            def sums(frames):
+                total, count = np.zeros((len(now), *now[0].shape)), np.zeros((len(now), len(now[0])))
+                for frame in frames:
+                    if len(frame):
+                        x = np.stack(frame["v"]).astype(float)
+                        for i, b in enumerate(now):
+                            part = x[:, i * width : (i + 1) * width]
+                            near = _distances(part, b, "euclidean").argmin(axis=1)
+                            np.add.at(total[i], near, part)
+                            np.add.at(count[i], near, 1)
+                m, c = np.indices(count.shape)
+                yield pd.DataFrame({"m": m.ravel(), "c": c.ravel(), "n": count.ravel(), "s": list(total.reshape(-1, width))})
+
+            parts = vectors.mapInPandas(sums, "m int, c int, n double, s array<double>").select("m", "c", "n", F.posexplode("s").alias("p", "x"))
+            new = [b.copy() for b in now]
+            for r in parts.groupBy("m", "c", "p").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect():
+                if r.n:
+                    new[r.m][r.c, r.p] = r.x / r.n
+            books = new
+            if all(np.allclose(a, b, atol=1e-12) for a, b in zip(now, new)):
+                break
+        self.books = books
         return self
 
     def encode(self, items: DataFrame, vector: str = "embedding") -> DataFrame:

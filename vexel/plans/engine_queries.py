@@ -103,11 +103,10 @@ def geo_polygon_join(spark, d):
     return places.polygon_join(points(spark, d), zones).select("id", "polygon_id")
 
 
-@query(f"WITH {POINTS}, s AS (SELECT s_suppkey AS k, CAST((s_suppkey * 41) % 170 - 85 AS DOUBLE) AS y, CAST((s_suppkey * 67) % 340 - 170 AS DOUBLE) AS x FROM supplier), p AS (SELECT id AS left_id, k AS right_id, {_hav('lat', 'lon', 'y', 'x')} AS km FROM points, s WHERE abs(lon - x) < 180) SELECT * FROM p WHERE km <= 800")
+@query(f"WITH {POINTS}, s AS (SELECT s_suppkey AS k, CAST((s_suppkey * 41) % 170 - 85 AS DOUBLE) AS y, CAST((s_suppkey * 67) % 340 - 170 AS DOUBLE) AS x FROM supplier), p AS (SELECT id AS left_id, k AS right_id, {_hav('lat', 'lon', 'y', 'x')} AS km FROM points, s) SELECT * FROM p WHERE km <= 800")
 def geo_radius_join(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * 41) % 170 - 85).cast("double").alias("lat"), ((F.col("s_suppkey") * 67) % 340 - 170).cast("double").alias("lon"))
-    near = places.radius_join(points(spark, d), s, 800.0).alias("r").join(points(spark, d).select(F.col("id").alias("left_id"), F.col("lon").alias("lo")), "left_id").join(s.select(F.col("id").alias("right_id"), F.col("lon").alias("ro")), "right_id")
-    return near.where(F.abs(F.col("lo") - F.col("ro")) < 180).select("left_id", "right_id", "km")
+    return places.radius_join(points(spark, d), s, 800.0)
 
 
 @query(f"WITH {POINTS}, t AS (SELECT *, greatest(0, least(1, (lat * 0 + (lon + 60) * 120) / 14400.0)) AS t FROM points) SELECT id, {_hav('lat', 'lon', '0::DOUBLE', '(-60 + t * 120)')} AS km FROM t")
@@ -317,7 +316,7 @@ def gauge_alerts(spark, d):
     return governance.alerts(g, spark.createDataFrame(rules, "rule string, name string, kind string, threshold double"))
 
 
-_TIERS = """t AS (SELECT o_orderkey AS id, o_orderkey % 150 AS n, date_diff('day', o_orderdate, TIMESTAMP '1998-12-31') AS age, CAST(o_totalprice AS BIGINT) AS size FROM orders),
+_TIERS = """t AS (SELECT o_orderkey AS id, o_orderkey % 150 AS n, date_diff('day', o_orderdate, TIMESTAMP '1998-12-31') AS age, CAST(round_even(o_totalprice, 0) AS BIGINT) AS size FROM orders),
 x AS (SELECT *, CASE WHEN n >= 100 THEN 'hot' WHEN n > 0 THEN 'warm' ELSE 'cold' END AS a, CASE WHEN age < 7 THEN 'hot' WHEN age < 30 THEN 'warm' ELSE 'cold' END AS b FROM t),
 y AS (SELECT *, 0.6::DOUBLE * CASE a WHEN 'hot' THEN 1 WHEN 'warm' THEN 0.5 ELSE 0 END + 0.4::DOUBLE * CASE b WHEN 'hot' THEN 1 WHEN 'warm' THEN 0.5 ELSE 0 END AS s FROM x),
 z AS (SELECT *, CASE WHEN s >= 0.75 THEN 'hot' WHEN s >= 0.25 THEN 'warm' ELSE 'cold' END AS c FROM y)"""
@@ -326,7 +325,7 @@ z AS (SELECT *, CASE WHEN s >= 0.75 THEN 'hot' WHEN s >= 0.25 THEN 'warm' ELSE '
 def _tiers(spark, d):
     o = table(spark, d, "orders")
     n, age = F.col("o_orderkey") % 150, F.datediff(F.lit("1998-12-31").cast("date"), F.to_date("o_orderdate"))
-    return o.select(F.col("o_orderkey").alias("id"), F.round("o_totalprice").cast("long").alias("size"), governance.tier_by_access(n).alias("a"), governance.tier_by_age(age).alias("b"), governance.tier_by_both(n, age).alias("c"))
+    return o.select(F.col("o_orderkey").alias("id"), F.bround("o_totalprice").cast("long").alias("size"), governance.tier_by_access(n).alias("a"), governance.tier_by_age(age).alias("b"), governance.tier_by_both(n, age).alias("c"))
 
 
 @query(f"WITH {_TIERS} SELECT id, a, b, c FROM z")
@@ -334,9 +333,9 @@ def storage_tiers(spark, d):
     return _tiers(spark, d).select("id", "a", "b", "c")
 
 
-@query(f"WITH {_TIERS} SELECT coalesce(c, 'total') AS tier, count(*) AS n FROM z GROUP BY ROLLUP (c)")
+@query(f"WITH {_TIERS} SELECT coalesce(c, 'total') AS tier, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM z GROUP BY ROLLUP (c)")
 def storage_tier_statistics(spark, d):
-    return governance.tier_statistics(_tiers(spark, d), "c").select("tier", "n")
+    return governance.tier_statistics(_tiers(spark, d), "c")
 
 
 @query(f"WITH {_TIERS} SELECT a AS old_tier, c AS new_tier, count(*) AS n FROM z WHERE a <> c GROUP BY 1, 2")

@@ -79,10 +79,10 @@ def nearest_scalar(spark, d):
 
 @query()
 def inverted_file_search(spark, d):
-    """k-NN over a quarter of the clusters."""
+    """k-NN over three quarters of the clusters, which the tests hold to a recall of 0.9 on these vectors."""
     e = table(spark, d, "embeddings")
     centroids = search.train_centroids(e, 16, 10)
-    return search.probe(search.assign(e, centroids), centroids, query_vector(spark, d), 10, 4).select("vec_id", "distance")
+    return search.probe(search.assign(e, centroids), centroids, query_vector(spark, d), 10, 12).select("vec_id", "distance")
 
 
 @query(_knn_sql("cosine"))
@@ -95,13 +95,13 @@ def inverted_file_all_clusters(spark, d):
 @query()
 def product_quantization_codes(spark, d):
     e = table(spark, d, "embeddings")
-    return search.ProductQuantizer(8, 16, 5).train(e).encode(e).select("vec_id", F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes"))
+    return search.ProductQuantizer().train(e).encode(e).select("vec_id", F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes"))
 
 
 @query()
 def product_quantization_search(spark, d):
     e = table(spark, d, "embeddings")
-    pq = search.ProductQuantizer(8, 16, 5).train(e)
+    pq = search.ProductQuantizer().train(e)
     return pq.search(pq.encode(e), query_vector(spark, d), 10).select("vec_id", "distance")
 
 
@@ -124,7 +124,7 @@ def vector_functions(spark, d):
     return e.select("vec_id", F.round(V.norm(v), 6).alias("norm"), (F.round(V.dot(v, q), 6) + 0.0).alias("dot"), (F.round(V.cosine_similarity(v, q), 6) + 0.0).alias("cosine"), (F.round(total, 6) + 0.0).alias("combined"))
 
 
-@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS before, 1.0::DOUBLE AS after FROM embeddings")
+@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS before, round(sqrt(list_sum(list_transform({_V}, lambda x: pow(x / sqrt(list_inner_product({_V}, {_V})), 2)))), 6) AS after FROM embeddings")
 def normalized_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("before"), F.round(V.norm(V.normalize(F.col("embedding"))), 6).alias("after"))
 
@@ -294,7 +294,8 @@ def retrieval_context(spark, d):
 v AS (SELECT doc_id, h, list_transform(range(0, 384), lambda i: ((h + i) % 1000)::DOUBLE / 1000) AS e FROM h)
 SELECT doc_id, h::VARCHAR AS hash, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS first, round(e[384] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS last FROM v""")
 def text_embeddings(spark, d):
-    e = table(spark, d, "documents").select("doc_id", E.text_hash(F.col("text")).cast("string").alias("hash"), E.embed_text(F.col("text")).alias("e"))
+    h = table(spark, d, "documents").select("doc_id", "text", E.text_hash(F.col("text")).alias("h"))
+    e = h.select("doc_id", F.col("h").cast("string").alias("hash"), E.embed_text(F.col("text"), hash=F.col("h")).alias("e"))
     return e.select("doc_id", "hash", F.round(F.col("e")[0], 6).alias("first"), F.round(F.col("e")[383], 6).alias("last"))
 
 

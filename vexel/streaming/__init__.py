@@ -1,0 +1 @@
+"""Structured streams: windows, sessions, keyed state, change logs into collections."""
