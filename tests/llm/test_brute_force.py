@@ -300,6 +300,23 @@ def test_near_dedup_recall(spark):
     assert all(r.group_size == size[r.group_id] for r in out)
 
 
+def test_near_dedup_drops_chance_pairs(spark):
+    """Signatures that share the first minima of a tree and little else are no candidates; those that agree just enough are, all of them."""
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(0, 1 << 16, (400, 128), dtype=np.uint16)
+    sigs[:, :32:8] = 7
+    for i in range(0, 40, 2):
+        # 52 of 128 minima agree: the least share above THRESHOLD - MARGIN.
+        sigs[i + 1] = sigs[i] + 1
+        sigs[i + 1, [*range(8), *range(20, 64)]] = sigs[i, [*range(8), *range(20, 64)]]
+    reps = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "key long, sig binary")
+    found = {(r.a, r.b) for r in near_dedup._forest_pairs(reps, 16, 8, 6).collect()}
+    assert {(i, i + 1) for i in range(0, 40, 2)} <= found
+    assert len(found) < 800  # thousands meet; at the ends of partitions none is dropped
+    brief = near_dedup.sketch(sigs)
+    assert (near_dedup.differing(brief[:200], brief[200:]) <= (sigs[:200] != sigs[200:]).sum(axis=1)).all()
+
+
 def test_near_dedup_in_a_crowd(spark):
     """Pairs just above the threshold, among thousands of texts that all share a passage."""
     rng = np.random.default_rng(6)

@@ -7,6 +7,9 @@ both sides, always to the side with the longer common prefix, until it has met R
 or no minimum is shared.  So the walk ends at another depth in every region: in a dense one it
 stays among documents that agree in many minima, in a sparse one it goes on to those that share
 the first minimum only.  A document that REACH nearer ones crowd out in one tree has 15 more.
+Each entry of an order carries BITS bits of every minimum, in which two signatures agree at least as
+often as in the minima themselves.  So pairs that met by chance, whose number grows faster than
+the table, are dropped where they meet, and none that the signatures would have let through.
 
 Pairs whose signatures agree in THRESHOLD + MARGIN of the minima or more are near, those below
 THRESHOLD - MARGIN are not (MARGIN is 3.4 standard errors at the threshold), and all between
@@ -35,6 +38,8 @@ from vexel.llm.common import Rows, cut, lean, read, small, text_slices, window_h
 TREES, DEPTH, SHINGLE, THRESHOLD, MARGIN, REACH = 16, 8, 3, 0.55, 0.15, 6
 #: Keys of documents whose texts are compared are broadcast up to so many; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Low bits of a minimum in a sketch; four minima are a byte.
+BITS = 2
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,17 +86,55 @@ def _sign(k: int, n: int):
             for at, data, offsets in text_slices(batch.column(1), lower=True):
                 some, sig = signatures(data, offsets, k, n)
                 if len(some):
-                    ends = (np.arange(len(some) + 1) * 2 * n).astype(np.int32)
-                    binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(some + at)), binary], ["key", "sig"])
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(some + at)), _fixed(sig.view(np.uint8))], ["key", "sig"])
 
     return run
 
 
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a binary column of that width."""
+    at = column.offset * width
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at : at + len(column) * width].reshape(-1, width)
+
+
 def _labels(column: pa.Array, depth: int) -> np.ndarray:
     """Rows x depth minima of a binary column of that width."""
-    at = column.offset * 2 * depth
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at : at + len(column) * 2 * depth].view(np.uint16).reshape(-1, depth)
+    return _bytes(column, 2 * depth).view(np.uint16)
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    ends = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """Rows of packed low bits of the minima."""
+    low = np.zeros((len(sig), -(-sig.shape[1] // 4) * 4), dtype=np.uint8)
+    low[:, : sig.shape[1]] = sig & ((1 << BITS) - 1)
+    return low[:, 0::4] | low[:, 1::4] << 2 | low[:, 2::4] << 4 | low[:, 3::4] << 6
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many minima are different in the sketches, row by row; never more than in the signatures."""
+    d = x ^ y
+    return np.bitwise_count((d | d >> 1) & 0x55).sum(axis=1, dtype=np.int64)
+
+
+def _spread(trees: int, depth: int):
+    """Of (key, sig): the entries of all orders, as (tree, label, key, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _labels(batch.column(1), trees * depth)
+            brief = _fixed(sketch(sig))
+            for tree in range(trees):
+                label = _fixed(np.ascontiguousarray(sig[:, tree * depth : (tree + 1) * depth]).view(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), label, batch.column(0), brief], ["tree", "label", "key", "sketch"])
+
+    return run
 
 
 def nearest(prefix: np.ndarray, reach: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +158,8 @@ def nearest(prefix: np.ndarray, reach: int, low: int, high: int) -> tuple[np.nda
     return np.concatenate(a), np.concatenate(b)
 
 
-def _neighbours(reach: int, depth: int):
-    """Of the sorted rows (tree, label, key) of a partition: the pairs that its rows choose; and the rows at the partition's ends."""
+def _neighbours(reach: int, depth: int, n: int, least: float):
+    """Of the sorted rows (tree, label, key, sketch) of a partition: the pairs that its rows choose and whose sketches agree in that share of n minima or more; and the rows at the partition's ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "tree", "label"]
@@ -125,6 +168,9 @@ def _neighbours(reach: int, depth: int):
             tree, key, label = table.column(0).to_numpy(), table.column(2).to_numpy(), _labels(table.column(1), depth)
             same = (label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None]
             a, b = nearest(np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1, dtype=np.int8), reach, low, high)
+            brief = _bytes(table.column(3), -(-n // 4))
+            near = (n - differing(brief[a], brief[b])) / n >= least
+            a, b = a[near], b[near]
             return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names)
 
         head: list[pa.RecordBatch] = []
@@ -137,10 +183,10 @@ def _neighbours(reach: int, depth: int):
                 head.append(batch.slice(0, reach - held))
                 held += head[-1].num_rows
             table = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-            n = table.num_rows
-            if n - reach > done:
-                yield pairs(table, done, n - reach)
-                done = n - reach
+            ready = table.num_rows - reach
+            if ready > done:
+                yield pairs(table, done, ready)
+                done = ready
             first = max(0, done - reach)
             kept, done = table.slice(first), done - first
         if kept is not None:
@@ -152,12 +198,12 @@ def _neighbours(reach: int, depth: int):
     return run
 
 
-def _forest_pairs(reps: DataFrame, trees: int, depth: int, reach: int) -> DataFrame:
-    """Distinct pairs a < b of keys that are neighbours in some tree. reps: key, sig."""
-    labels = reps.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig", "key").select("tree", F.expr(f"substring(sig, tree * {2 * depth} + 1, {2 * depth})").alias("label"), "key").withColumn("tie", F.hash("key", "tree"))
+def _forest_pairs(reps: DataFrame, trees: int, depth: int, reach: int, least: float = THRESHOLD - MARGIN) -> DataFrame:
+    """Distinct pairs a < b of keys that are neighbours in some tree; of those whose signatures agree in less than that share of the minima, hardly any. reps: key, sig."""
+    labels = reps.select("key", "sig").mapInArrow(lean(_spread(trees, depth)), "tree int, label binary, key long, sketch binary").withColumn("tie", F.hash("key", "tree"))
     order = ["tree", "label", "tie", "key"]
     ordered = labels.repartitionByRange(*order).sortWithinPartitions(*order)
-    met = cut(ordered.select("tree", "label", "key").mapInArrow(lean(_neighbours(reach, depth)), "a long, b long, tree int, label binary"))
+    met = cut(ordered.select("tree", "label", "key", "sketch").mapInArrow(lean(_neighbours(reach, depth, trees * depth, least)), "a long, b long, tree int, label binary"))
     inner = met.where("b is not null").select("a", "b")
     # Across the ends of partitions, a few rows for each, all that share the first minimum within reach meet.
     ends = met.where("b is null").select("tree", "label", F.col("a").alias("key")).distinct()
@@ -228,7 +274,7 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, shi
     # Equal signatures are one class, which its least key stands for.
     same = cut(sig.groupBy("same").agg(F.min("key").alias("rep"), F.max("key").alias("last")))
     reps = cut(sig.join(same.select("same", F.col("rep").alias("key")), ["same", "key"], "left_semi").select("key", "sig").dropDuplicates(["key"]))
-    pairs = _forest_pairs(reps, trees, depth, reach)
+    pairs = _forest_pairs(reps, trees, depth, reach, threshold - margin)
     met = pairs.join(reps.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
     met = cut(met.select("a", "b", "sa", "sb").mapInArrow(lean(_agree(n, threshold - margin)), "a long, b long, share double"))
     close = met.where(F.col("share") < threshold + margin).select("a", "b")
