@@ -202,6 +202,20 @@ def test_language_model_in_many_buckets(spark, docs):
     assert one.keys() == many.keys() and all(one[d] == pytest.approx(many[d], rel=1e-12) for d in one)
 
 
+def test_language_model_counts_in_shares(spark, docs, monkeypatch):
+    """No pass sends more than its share of the blocks, and together they send every trigram once."""
+    passes, inner = [], language_model._trigrams
+    monkeypatch.setattr(language_model, "_trigrams", lambda *args: passes.append(inner(*args)) or passes[-1])
+    known = language_model.train(docs, bucket_bytes=20_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([r.text for r in docs.select("text").collect()], pa.string())], ["text"])
+    sent = lambda run: [(n, b) for out in run(iter([batch])) for n, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    whole, shares = sent(inner(known["spread"], language_model.FLUSH)), [sent(run) for run in passes]
+    assert max(sum(len(b) for _, b in share) for share in shares) < 0.6 * sum(len(b) for _, b in whole)
+    assert sorted(n for share in shares for n, _ in share) == sorted(n for n, _ in whole)
+    events = lambda blocks: sum(int(language_model._unblock(b, 3)[3].sum()) for _, b in blocks)
+    assert sum(map(events, shares)) == events(whole)
+
+
 def test_stored_table():
     """Small and large counts, and hashes that are alike in the searched half."""
     rng = np.random.default_rng(2)

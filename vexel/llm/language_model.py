@@ -9,6 +9,8 @@ compressed blocks, one for each bucket.  The bucket follows from the middle word
 all of a context (two words) and all of the continuations of a bigram; a middle word which is more than
 its share of the corpus is spread over several buckets by the outer words, and its bigrams
 are added up in a second exchange.  The number of buckets follows from the bytes of text.
+The text is read PASSES times, each time for another share of the buckets, so that no more than
+that share of the blocks is on disk at once.
 
 Storing.  A bucket's counts become arrays sorted by hash in the shared folder: trigrams with
 their counts, contexts with the sums that discounts need, bigrams with their left neighbours,
@@ -41,8 +43,8 @@ from pyspark.sql import functions as F
 
 from vexel.llm.common import Rows, cut, form, lean, mix, read, scratch, text_slices, words
 
-#: Bytes of text for a bucket; words of a block; buckets of trigrams for a bucket of words.
-BUCKET_BYTES, FLUSH, WORD_BUCKETS = 8 << 20, 1_500_000, 8
+#: Bytes of text for a bucket; words of a block; buckets of trigrams for a bucket of words; times that the text is read to count.
+BUCKET_BYTES, FLUSH, WORD_BUCKETS, PASSES = 8 << 20, 1_500_000, 8, 3
 
 _U = np.uint64
 BEGIN, END = _U(0x1D8E4E27C47D124F), _U(0xEB44ACCAB455D165)
@@ -143,11 +145,15 @@ def _frequent(buckets: int, most: int):
     return run
 
 
-def _trigrams(spread: Spread, most: int):
-    """(bucket, block) of the distinct trigrams."""
+def _trigrams(spread: Spread, most: int, share: int = 0, shares: int = 1):
+    """(bucket, block) of the distinct trigrams, of the buckets whose number leaves `share` when divided by `shares`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, at in _events(batches, most):
+            if shares > 1:
+                at = at[spread.bucket(token[at - 1], token[at - 2]) % shares == share]
+                if not len(at):
+                    continue
             vocabulary, ids = np.unique(token, return_inverse=True)
             v = np.int64(len(vocabulary))
             ids = ids.astype(np.int64)
@@ -376,8 +382,12 @@ def train(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH)
     spread = Spread(buckets, frequent, several)
     # Buckets are light to move and heavy to count: a number of tasks that is given is not coalesced at run time.
     spot = lambda df, n: df.repartition(min(n, 20_000), "bucket").groupBy("bucket")
-    blocks = texts.mapInArrow(lean(_trigrams(spread, flush)), "bucket int, block binary")
-    counted = cut(spot(blocks, buckets).applyInArrow(_count_bucket(folder, spread, words_in), _RESULT))
+    counted = None
+    shares = min(PASSES, buckets)
+    for share in range(shares):
+        blocks = texts.mapInArrow(lean(_trigrams(spread, flush, share, shares)), "bucket int, block binary")
+        part = cut(spot(blocks, -(-buckets // shares)).applyInArrow(_count_bucket(folder, spread, words_in), _RESULT))
+        counted = part if counted is None else counted.union(part)
     if len(frequent):
         more = cut(spot(counted.where("kind = 'bigrams of frequent words'").select("bucket", "block"), buckets).applyInArrow(_count_frequent(folder, words_in), _RESULT))
         contexts = more.where("kind = 'context'").groupBy("bucket", F.col("stats")[0].alias("w")).agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(1, 5)])
