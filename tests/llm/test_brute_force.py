@@ -509,6 +509,31 @@ def test_substring_dedup_partner_by_partner(spark, anchors):
     assert {r for r in got if r[0] == 0} == {(0, 0, 50), (0, 50, 100)}
 
 
+def test_substring_rounds_move_only_what_goes_on(spark):
+    """Most texts are done in the first round; the rounds that a few need don't move the others' words."""
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"{x:08x}" for x in rng.integers(0, 1 << 32, n)]
+    texts = []
+    for _ in range(150):
+        passage = some(200)
+        texts += [passage + some(30), some(30) + passage]
+    for _ in range(6):
+        passage = some(300)
+        texts += [passage[: 60 + 6 * i] + some(5) for i in range(30)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4).cache()
+    df.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    key, before = "spark.sql.autoBroadcastJoinThreshold", written()
+    spark.conf.set(key, "-1")  # as it is for tables beyond it
+    try:
+        got = set(map(tuple, substring_dedup.repeats(df).collect()))
+    finally:
+        spark.conf.unset(key)
+    moved = written() - before
+    assert got == longest_repeats(dict(enumerate(texts)), substring_dedup.LEAST)
+    assert moved < 6 * sum(len(w) * 9 for w in texts), moved
+
+
 def test_pipeline(spark, docs, tokenizer):
     """Stage by stage on what the stage before kept, each against brute force."""
     kept = docs

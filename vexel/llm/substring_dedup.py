@@ -21,7 +21,8 @@ Where the partner holds a seed more than once, as in repeated lines, one place i
 so that each round halves, by chance, the repetitions that are left; and the seed's texts meet the
 first text after the partner as well.
 
-Only the neighbourhoods of shared anchors leave the text's place.  Texts that are equal are
+Only the neighbourhoods of shared anchors leave the text's place, and those of a round are among
+those of the round before; once they are few enough to be named by a broadcast, the rest is not moved again.  Texts that are equal are
 one text; each of their documents is a repeat from end to end.
 
 Defined results: null and empty texts, and those of fewer than LEAST words, have none; rows with equal
@@ -44,6 +45,8 @@ from vexel.llm.common import _BYTES, Rows, cut, lean, mix, read, text_slices, wi
 LEAST, GRAM = 50, 26
 #: Hashes of shared anchors are broadcast up to so many; beyond, they are joined.
 BROADCAST_ANCHORS = 4_000_000
+#: The neighbourhoods that a round needs are picked by a broadcast of up to so many numbers; beyond, all are joined.
+BROADCAST_REGIONS = 1_000_000
 
 
 def _slide(x: np.ndarray, w: int, of) -> np.ndarray:
@@ -270,6 +273,7 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, broadcast_anc
     elements = cut(found.where("words is not null").select(F.explode(F.arrays_zip("h", "p")).alias("s"), "k", "g").select("s.h", "k", "g", F.col("s.p").alias("x"), (F.col("s.p") + gram).alias("y")))
     matches = None
     second = False
+    live, most = regions, BROADCAST_REGIONS
     while True:
         first = elements.groupBy("h").agg(F.min(F.struct("k", F.xxhash64("g", "x").alias("o"), "g", "x")).alias("r"), F.max("k").alias("most")).where("r.k <> most").select("h", "r")
         near = elements.join(first, "h")
@@ -278,9 +282,15 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, broadcast_anc
         both = near.select("g", "x", "y", "r").union(near.drop("r").join(again, "h").select("g", "x", "y", "r2"))
         meet = both.where("g <> r.g or x <> r.x").select("g", F.col("r.g").alias("rg"), F.struct("x", "y", (F.col("r.x") - F.col("x")).alias("d")).alias("seed"))
         pairs = cut(meet.groupBy("g", "rg").agg(F.collect_set("seed").alias("seeds")))
-        if not pairs.count():
+        n = pairs.count()
+        if not n:
             break
-        near = pairs.join(regions.select("k", "g", "words"), "g").join(regions.select(F.col("g").alias("rg"), F.col("words").alias("theirs")), "rg").withColumn("second", F.lit(second))
+        if 2 * n <= most:
+            live = live.join(F.broadcast(pairs.select(F.explode(F.array("g", "rg")).alias("g")).distinct()), "g", "left_semi")
+            if second:
+                # Written again only when a quarter is left, so that all of these together stay small.
+                live, most = cut(live), n // 2
+        near = pairs.join(live.select("k", "g", "words"), "g").join(live.select(F.col("g").alias("rg"), F.col("words").alias("theirs")), "rg").withColumn("second", F.lit(second))
         out = cut(near.select("k", "g", "words", "rg", "theirs", "seeds", "second").mapInArrow(lean(_extend_all), "k long, g long, rg long, x int, y int, tx int, h long"))
         span = out.where("h is null").select("g", "rg", "x", "y", "tx")
         matches = span if matches is None else matches.union(span)
