@@ -42,6 +42,28 @@ def test_batch_search_with_gaps(spark):
         search.batch_knn(queries, spark.createDataFrame([(1, [1.0, 0.0, 0.0])], FORM)).collect()
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot", "manhattan"])
+def test_batch_search_by_cells(spark, metric):
+    """Against all pairs in plain numpy: ties in masses, far outliers, zeros, infinities, and cells that cut both sides; tasks hold whole cells, and no block is sent to every other."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.integers(0, 2, (900, 4)), rng.normal(size=(900, 4)), [[1e6, 0, 0, 0], [1e6, 1e-3, 0, 0], [0, 0, 0, 0], [float("inf"), 0, 0, 0]]]).astype("float32")
+    names = rng.permutation(len(v))
+    e = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(names, v)], FORM).cache()
+    ask = e.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    order = np.argsort(names)
+    x = v[order].astype(float)
+    with np.errstate(all="ignore"):
+        d = np.stack([search._exact(np.broadcast_to(a, x.shape), x, metric) for a in x[::7]])
+    want = {}
+    for i, row in enumerate(d):
+        best = np.lexsort((np.arange(len(row)), row))[:12]
+        want |= {(7 * i, rank + 1): (int(j), "nan" if math.isnan(row[j]) else row[j]) for rank, j in enumerate(best)}
+    centroids = x[:5]
+    for found in (search.batch_knn(ask, e, 12, metric, block=100), search.batch_knn(ask, e, 12, metric), search.batch_probe(ask, search.assign(e, centroids), centroids, 12, 5, metric, block=300)):
+        assert {(r.query_id, r["rank"]): (r.vec_id, "nan" if math.isnan(r.distance) else r.distance) for r in found.collect()} == want
+        assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "BroadcastNestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_recall_of_approximate_searches(spark):
     e = table(spark, SF, "embeddings")
     exact = {(r.query_id, r.vec_id) for r in search.batch_knn(e.withColumnRenamed("vec_id", "query_id"), e, 10).collect()}
