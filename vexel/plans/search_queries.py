@@ -9,8 +9,12 @@ from vexel.functions import text as T
 from vexel.functions import vector as V
 from vexel.operators import bm25, fusion, search
 from vexel.operators.filters import Filter, all_of
+from vexel.operators.storage import checkpoint
 from vexel.plans.base import TOKENS, query, query_vector, table
 
+#: Hits up to which they are broadcast.
+FEW = 1_000_000
+
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 _D = {
     "cosine": "round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) + 0.0",
@@ -286,8 +290,10 @@ SELECT query_id, md5(string_agg(part, chr(10) || chr(10) ORDER BY rank)) AS cont
 def retrieval_context(spark, d):
     docs = table(spark, d, "documents")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = bm25.batch_search(docs, q, 10).join(docs.select("doc_id", "text"), "doc_id")
-    return fusion.build_context(hits).select("query_id", F.md5("context").alias("context_md5"))
+    hits = checkpoint(bm25.batch_search(docs, q, 10))
+    # Else all texts would be shuffled to meet a few.
+    near = F.broadcast(hits) if hits.count() <= FEW else hits
+    return fusion.build_context(near.join(docs.select("doc_id", "text"), "doc_id")).select("query_id", F.md5("context").alias("context_md5"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(text, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (h * 33 + c) % 18446744073709551616) AS h FROM documents),
