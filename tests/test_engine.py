@@ -88,7 +88,12 @@ def test_batch_text_search_against_all_scores(spark, monkeypatch):
 
 
 def test_retrieved_texts_are_not_shuffled(spark):
-    plan = QUERIES["retrieval_context"](spark, SF)._jdf.queryExecution().toString()
+    key, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")  # as for texts that are too many to be broadcast
+    try:
+        plan = QUERIES["retrieval_context"](spark, SF)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(key, was)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
